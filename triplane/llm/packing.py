@@ -55,12 +55,13 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tu
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
     groups = max(1, -(-rows.count() // group_rows))
     # rows of one id (null, or repeated) differ in nothing but their place in the input, so that is part of the hash
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
         ids, piece, start, size = [], [], [], []
         for d, n in zip(pdf["doc_id"].tolist(), pdf["n"].tolist()):
@@ -71,13 +72,12 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tu
                 size.append(min(top, n - k * top))
         bins, offsets, final = pack_lengths(size, capacities, overhead)
         return pd.DataFrame({
-            "doc_id": pd.array(ids, dtype=kinds["doc_id"]), "piece": piece, "start": start, "length": size,
+            "doc_id": pd.Series(ids, dtype=object), "piece": piece, "start": start, "length": size,
             "bin_id": [(int(key[0]) << 32) + b for b in bins], "bin_offset": offsets, "bin_capacity": [final[b] for b in bins],
         })
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    kinds = {"doc_id": "Int64" if kind in ("bigint", "int", "smallint", "tinyint") else "object"}
-    return rows.groupBy("g").applyInPandas(one, f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_offset long, bin_capacity int")
+    done = rows.groupBy("g").applyInPandas(one, "doc_id string, piece int, start long, length long, bin_id long, bin_offset long, bin_capacity int")
+    return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

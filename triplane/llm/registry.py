@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from triplane.llm import ann, bpe, chat, dedup, html, langid, packing, quality, shards, topk
+from triplane.llm import chat, packing, shards
 
 
 def queries():
     return {
-        "op1_exact_topk": topk.query,
         "op2_chat_format": chat.query,
-        "op3_minhash_dedup": dedup.query,
         "op4_best_fit_packing": packing.query,
-        "op5_language_id": langid.query,
         "op6_lpt_sharding": shards.query,
-        "op7_quality_gam": quality.query,
-        "op8_html_extraction": html.query,
-        "op9_byte_bpe": bpe.query,
-        "op10_additive_ann": ann.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
