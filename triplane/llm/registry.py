@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triplane.llm import chat, packing, shards
+from triplane.llm import bpe, chat, packing, shards
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_chat_format": chat.query,
         "op4_best_fit_packing": packing.query,
         "op6_lpt_sharding": shards.query,
+        "op9_byte_bpe": bpe.query,
     }
 
 
