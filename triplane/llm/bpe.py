@@ -136,9 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
     """
     spark = docs.sparkSession
     shared, call = spark.sparkContext.broadcast(read_ranks(ranks_path)), uuid.uuid4().hex
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("ids", "array<int>")
-    if decoded:
-        schema = schema.add("decoded", "binary")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if call not in _CODER:
@@ -165,7 +163,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, decoded``: the bytes of each row's ``ids``; null ids give null."""
     shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = tokens.select("doc_id").schema.add("decoded", "binary")
+    schema = f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value, "")
