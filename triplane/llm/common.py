@@ -62,3 +62,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not kept:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows whose crc32 of the id as text is 2 modulo 4; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def least_hashed(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The ``n`` rows of least hash of the id: a bounded sample that does not depend on how rows are laid out."""
+    return df.orderBy(F.xxhash64(id_col), id_col).limit(n)

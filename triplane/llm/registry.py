@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from triplane.llm import bpe, chat, packing, shards
+from triplane.llm import bpe, chat, langid, packing, quality, shards
 
 
 def queries():
     return {
         "op2_chat_format": chat.query,
         "op4_best_fit_packing": packing.query,
+        "op5_language_id": langid.query,
         "op6_lpt_sharding": shards.query,
+        "op7_quality_gam": quality.query,
         "op9_byte_bpe": bpe.query,
     }
 
