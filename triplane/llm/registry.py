@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from triplane.llm import bpe, chat, langid, packing, quality, shards
+from triplane.llm import bpe, chat, dedup, langid, packing, quality, shards
 
 
 def queries():
     return {
         "op2_chat_format": chat.query,
+        "op3_minhash_dedup": dedup.query,
         "op4_best_fit_packing": packing.query,
         "op5_language_id": langid.query,
         "op6_lpt_sharding": shards.query,
