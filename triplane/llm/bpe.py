@@ -12,7 +12,6 @@ import base64
 import re
 import uuid
 from collections.abc import Iterator
-from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -35,66 +34,106 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the pair of least rank merges, the leftmost of equals."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
-    after = list(range(1, n + 2))  # start of the next part
+def merge(pieces: list[bytes], ranks: dict[bytes, int], two: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """Ids of each pre-token: always the pair of least rank merges, the leftmost of equals.
+
+    The pre-tokens stand one after another in one linked list and share the queue; no pair spans two of them, so their
+    order among each other does not matter. A merge cannot fill the bucket it came from, as what it makes is longer.
+    ``two``: the rank of each pair of bytes or -1, if the caller has it.
+    """
+    text = b"".join(pieces)
+    n = len(text)
+    if not n:
+        return [()] * len(pieces)
+    ends = np.cumsum([len(p) for p in pieces])
+    raw = np.frombuffer(text, np.uint8).astype(np.int64)
+    two = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]) if two is None else two
+    first = np.full(n, -1, np.int64)
+    first[:-1] = two[raw[:-1] << 8 | raw[1:]]
+    first[ends[ends > 0] - 1] = -1
+    starts = bytearray(n + 1)  # where a pre-token begins; the end of the text counts as one
+    for e in (0, *ends.tolist()):
+        starts[e] = 1
+    pair = first.tolist()
+    part = [ranks[bytes((b,))] for b in range(256)]
+    part = [part[b] for b in text]  # id of the part that begins here
+    after = list(range(1, n + 1))
     before = list(range(-1, n))
-    pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     summary = 0
-    for i in range(n - 1):
-        r = pair[i]
-        if r >= 0:
-            if r in buckets:
-                buckets[r].append(i)  # ascending, and so a heap
-            else:
-                buckets[r] = [i]
-                w = r >> 8
-                words[w] = words.get(w, 0) | 1 << (r & 255)
-                summary |= 1 << w
+    order = np.argsort(first, kind="stable")
+    order = order[first[order] >= 0]
+    found, begin = np.unique(first[order], return_index=True)
+    for r, at in zip(found.tolist(), np.split(order, begin[1:])):
+        buckets[r] = at.tolist()
+        words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
+        summary |= 1 << (r >> 8)
+    sorted_rest: dict[int, list[int]] = {}
     get = ranks.get
     while summary:
         w = (summary & -summary).bit_length() - 1
         word = words[w]
         r = w << 8 | (word & -word).bit_length() - 1
-        bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[r]
-            words[w] = word = word & (word - 1)
-            if not word:
-                summary &= summary - 1
-        if pair[i] != r:
-            continue  # stale
-        j = after[i]
-        end = after[j]
-        after[i] = end
-        pair[j] = -1
-        if end < n:
+        bucket = sorted_rest.pop(r, None)
+        if bucket is None:
+            bucket = buckets.pop(r)
+            bucket.sort(reverse=True)
+        elif r in buckets:
+            bucket += buckets.pop(r)
+            bucket.sort(reverse=True)
+        lower = False
+        while bucket:
+            i = bucket.pop()
+            if pair[i] != r:
+                continue  # stale
+            j = after[i]
+            end = after[j]
+            after[i] = end
+            part[i] = r
+            pair[j] = -1
             before[end] = i
-            changed = ((i, piece[i : after[end]]), (before[i], None)) if before[i] >= 0 else ((i, piece[i : after[end]]),)
-        else:
-            pair[i] = -1
-            changed = ((before[i], None),) if before[i] >= 0 else ()
-        for at, both in changed:
-            new = get(piece[at:end] if both is None else both, -1)
-            pair[at] = new
-            if new >= 0:
-                if new in buckets:
-                    heappush(buckets[new], at)
-                else:
-                    buckets[new] = [at]
-                    v = new >> 8
-                    words[v] = words.get(v, 0) | 1 << (new & 255)
-                    summary |= 1 << v
+            if starts[end]:
+                pair[i] = -1
+            else:
+                pair[i] = new = get(text[i : after[end]], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        buckets[new] = [i]
+                        v = new >> 8
+                        words[v] = words.get(v, 0) | 1 << (new & 255)
+                        summary |= 1 << v
+                    lower = new < r
+            if not starts[i]:
+                h = before[i]
+                pair[h] = new = get(text[h:end], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(h)
+                    else:
+                        buckets[new] = [h]
+                        v = new >> 8
+                        words[v] = words.get(v, 0) | 1 << (new & 255)
+                        summary |= 1 << v
+                    if new < r:
+                        lower = True
+            if lower:
+                break
+        if bucket:
+            sorted_rest[r] = bucket
+        elif r not in buckets:
+            words[w] = word = words[w] & ~(1 << (r & 255))
+            if not word:
+                summary &= ~(1 << w)
     out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+    for e in ends.tolist():
+        ids = []
+        while i < e:
+            ids.append(part[i])
+            i = after[i]
+        out.append(tuple(ids))
     return out
 
 
@@ -107,21 +146,26 @@ class Encoder:
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             self.token[r] = t
+        self.two = np.full(1 << 16, -1, np.int64)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.two[t[0] << 8 | t[1]] = r
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        split = self.full if self.quick is None or _UNLIKE.search(text) else self.quick
-        pieces = split.findall(text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        split = [(self.full if self.quick is None or _UNLIKE.search(t) else self.quick).findall(t) for t in texts]
         known = self.known
-        missing = set(pieces).difference(known)
+        missing = set().union(*split).difference(known)
         if missing:
             if len(known) + len(missing) > REMEMBERED:
                 known.clear()
-                missing = set(pieces)
-            ranks = self.ranks
-            for p in missing:
-                known[p] = tuple(merge(p.encode("utf-8", "surrogatepass"), ranks))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+                missing = set().union(*split)
+            raw = {p: p.encode("utf-8", "surrogatepass") for p in missing}
+            whole = {p: (self.ranks[b],) for p, b in raw.items() if b in self.ranks}
+            known.update(whole)
+            rest = [p for p in raw if p not in whole]
+            known.update(zip(rest, merge([raw[p] for p in rest], self.ranks, self.two)))
+        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -144,14 +188,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
             _CODER[call] = Encoder(shared.value, pattern, quick)
         coder = _CODER[call]
         for batch in batches:
-            step = 256
+            step = 512
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                ids, back = [], []
-                for text in part.column(1):
-                    ids.append(coder.encode(text.as_py() or ""))
-                    if decoded:
-                        back.append(coder.decode(ids[-1]))
+                ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                back = [coder.decode(x) for x in ids] if decoded else []
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)] + [pa.array(back, pa.binary())] * decoded
