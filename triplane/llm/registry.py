@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from triplane.llm import bpe, chat, dedup, langid, packing, quality, shards
+from triplane.llm import bpe, chat, dedup, langid, packing, quality, shards, topk
 
 
 def queries():
     return {
+        "op1_exact_topk": topk.query,
         "op2_chat_format": chat.query,
         "op3_minhash_dedup": dedup.query,
         "op4_best_fit_packing": packing.query,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_chat_format": chat.ORACLE}
+    return {"op1_exact_topk": topk.ORACLE, "op2_chat_format": chat.ORACLE}
