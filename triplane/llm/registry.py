@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from triplane.llm import bpe, chat, dedup, langid, packing, quality, shards, topk
+from triplane.llm import bpe, chat, dedup, html, langid, packing, quality, shards, topk
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op5_language_id": langid.query,
         "op6_lpt_sharding": shards.query,
         "op7_quality_gam": quality.query,
+        "op8_html_extraction": html.query,
         "op9_byte_bpe": bpe.query,
         "pipeline": corpus_pipeline.run,
     }
