@@ -9,8 +9,9 @@ of one shingle for all coordinates stand side by side in the second permutation.
    each pair of chunks is a group of its own, so a group has at most 2 x ``chunk`` nodes.
 3. A group compares signatures and emits a spanning forest of its likely pairs only, most alike first. These pairs are
    confirmed on the full sets, and their components taken.
-4. Likely pairs that join different components are all that is left to decide; they are confirmed on the full sets
-   too. A pair inside a component needs no test, as it cannot change the components.
+4. Likely pairs of different components are all that is left to decide. Buckets that hold such pairs get the full sets,
+   and their groups confirm pairs, most alike first, until no two components are left that a likely pair could join.
+   A pair inside a component needs no test, as it cannot change the components.
 
 A pair is likely if its signatures agree in 72 % of the coordinates or more; at a similarity of 0.85 that misses about
 two pairs in a million, and no shared band as many.
@@ -33,7 +34,9 @@ WORDS = 5
 BANDS, ROWS = 28, 6
 PLACES = 1 << 22
 LIKELY = 0.72
-CHUNK = 512
+#: Pairs whose sizes alone put their similarity below this, in percent, are not compared.
+LEAST = 80
+CHUNK = 256
 
 
 class _Hashes(dict):
@@ -136,86 +139,129 @@ def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_pairs(node: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray, comp: np.ndarray | None) -> np.ndarray:
-    """Pairs of one group: a spanning forest, or with ``comp`` every likely pair of different components."""
-    m = len(node)
-    if comp is not None and (comp == comp[0]).all():
-        return np.empty((0, 2), np.int64)
+def _alike(n: np.ndarray, sig: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Share of equal coordinates for each pair of a group; 0 where the sizes alone rule it out or the sides are one."""
+    m = len(n)
     alike = np.empty((m, m), np.float32)
     for i in range(m):
         alike[i] = (sig == sig[i]).mean(1, dtype=np.float32)
-    alike[100 * np.minimum(n[:, None], n) < 85 * np.maximum(n[:, None], n)] = 0  # sizes alone rule these out
+    alike[100 * np.minimum(n[:, None], n) < LEAST * np.maximum(n[:, None], n)] = 0
     if side.any():
         alike[side[:, None] == side] = 0
-    if comp is None:
-        np.fill_diagonal(alike, 0)
-        found = np.array(_forest(alike), np.int64).reshape(-1, 2)
-    else:
-        found = np.argwhere(np.triu(alike >= LIKELY, 1) & (comp[:, None] != comp))
-    return np.sort(node[found], axis=1)
+    np.fill_diagonal(alike, 0)
+    return alike
 
 
-def _grouped(with_comp: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by group. A group has at most 2 x CHUNK rows, so what is kept between batches is bounded."""
-        rest = None
-        seen: set[tuple[int, int]] = set()
-
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            group, node, n, sig, side, comp = cols
-            starts = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-            starts = np.concatenate([[0], starts, [len(node)]])
-            size = np.diff(starts)
-            two = starts[:-1][size == 2]
-            ok = ((sig[two] == sig[two + 1]).mean(1) >= LIKELY) & (100 * np.minimum(n[two], n[two + 1]) >= 85 * np.maximum(n[two], n[two + 1])) if len(two) else np.empty(0, bool)
-            if with_comp:
-                ok &= comp[two] != comp[two + 1]
-            ok &= (side[two] == 0) | (side[two] != side[two + 1])
-            out = [np.sort(np.stack([node[two[ok]], node[two[ok] + 1]], 1), axis=1)]
-            for s, k in zip(starts[:-1][size > 2], size[size > 2]):
-                at = slice(s, s + k)
-                out.append(_bucket_pairs(node[at], n[at], sig[at], side[at], comp[at] if with_comp else None))
-            fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
-            if len(seen) < 500_000:  # repeats of other bands go early; distinct() takes the others
-                seen.update(fresh)
-            fresh = np.array(fresh, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            num = lambda i: np.asarray(batch.column(i))  # noqa: E731, B023
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cols = [np.stack([num(0), num(1)], 1), num(2), num(3), sig, num(4), num(6)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            group = cols[0]
-            last = len(group) - int(np.argmax(np.any(group[::-1] != group[-1], axis=1))) if np.any(group != group[-1]) else 0
-            rest = [c[last:] for c in cols]
-            if last:
-                yield pairs([c[:last] for c in cols])
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Batches of rows sorted by their first two columns -> tables of whole groups.
+
+    A group has at most 2 x CHUNK rows, so what is kept between batches is bounded.
+    """
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = []
+        for c in batch.columns[2:]:
+            if pa.types.is_binary(c.type):
+                c = np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            elif pa.types.is_list(c.type):
+                flat, ends = np.asarray(c.flatten()), np.asarray(c.offsets)
+                ends = ends - ends[0]
+                c = np.empty(batch.num_rows, object)
+                c[:] = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+            cols.append(np.asarray(c))
+        cols = [np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], 1), *cols]
         if rest is not None:
-            yield pairs(rest)
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        group = cols[0]
+        last = len(group) - int(np.argmax(np.any(group[::-1] != group[-1], axis=1))) if np.any(group != group[-1]) else 0
+        rest = [c[last:] for c in cols]
+        if last:
+            yield [c[:last] for c in cols]
+    if rest is not None:
+        yield rest
+
+
+def _bounds(group: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1, [len(group)]])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups -> the pairs of a spanning forest of what is likely in each."""
+    seen: set[tuple[int, int]] = set()
+    for group, node, n, side, sig in _whole_groups(batches):
+        bounds = _bounds(group)
+        start, size = bounds[:-1], np.diff(bounds)
+        two = start[size == 2]
+        ok = ((sig[two] == sig[two + 1]).mean(1) >= LIKELY) & (100 * np.minimum(n[two], n[two + 1]) >= LEAST * np.maximum(n[two], n[two + 1]))
+        ok &= (side[two] == 0) | (side[two] != side[two + 1])
+        out = [np.sort(np.stack([node[two[ok]], node[two[ok] + 1]], 1), axis=1)]
+        for s, k in zip(start[size > 2], size[size > 2]):
+            at = slice(s, s + k)
+            found = np.array(_forest(_alike(n[at], sig[at], side[at])), np.int64).reshape(-1, 2)
+            out.append(np.sort(node[at][found], axis=1))
+        fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
+        if len(seen) < 500_000:  # repeats of other bands go early; distinct() takes the others
+            seen.update(fresh)
+        fresh = np.array(fresh, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], names=["a", "b"])
+
+
+def _joins(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups with their components and full sets -> links that join components, confirmed; most alike first.
+
+        A pair is tested in the first band that it shares, and only while its two components are apart.
+        """
+        for group, node, n, side, sig, comp, bands, sets in _whole_groups(batches):
+            bounds, found = _bounds(group), []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                c = comp[s:e]
+                if (c == c[0]).all():
+                    continue
+                alike = _alike(n[s:e], sig[s:e], side[s:e])
+                alike[c[:, None] == c] = 0
+                keys = np.stack(bands[s:e])
+                here = np.argmax(keys[0] == group[s, 0])
+                tests = []
+                for i in range(e - s):
+                    js = np.flatnonzero(alike[i, i + 1 :] >= LIKELY) + i + 1
+                    if len(js):
+                        js = js[np.argmax(keys[js] == keys[i], axis=1) == here]
+                        tests += [(-alike[i, j], i, j) for j in js]
+                root = {x: x for x in c.tolist()}
+                for _, i, j in sorted(tests):
+                    a, b = int(c[i]), int(c[j])
+                    while root[a] != a:
+                        a = root[a]
+                    while root[b] != b:
+                        b = root[b]
+                    if a == b:
+                        continue
+                    x, y = sets[s + i].view(np.uint64), sets[s + j].view(np.uint64)
+                    at = np.searchsorted(x, y)
+                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        root[max(a, b)] = min(a, b)
+                        found.append((a, b))
+            out = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _grouping(buckets: DataFrame, chunk: int) -> DataFrame:
-    """``key, node, size`` -> a row for each group that the node is in: ``key, pair, side``."""
+def _grouped(buckets: DataFrame, chunk: int, *more: str) -> DataFrame:
+    """``key, node, size, n, sig`` and ``more`` -> a row for each group that a node is in, group by group."""
     chunks = F.ceil(F.col("size") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
     other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
-    dealt = buckets.select("key", "node", "n", "sig", "comp", chunks.alias("chunks"), mine.alias("mine"), other)
+    dealt = buckets.select("key", "node", "n", "sig", *more, chunks.alias("chunks"), mine.alias("mine"), other)
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     # side 0: pairs within the chunk count; else only those of a 1 and a 2 do
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return dealt.select("key", (low * F.col("chunks") + high).alias("pair"), "node", "n", side.alias("side"), "sig", "comp")
-
-
-def _pairs(buckets: DataFrame, chunk: int, with_comp: bool) -> DataFrame:
-    groups = _grouping(buckets, chunk).repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-    groups = groups.select(F.col("key"), F.col("pair").cast("long").alias("pair"), "node", "n", F.col("side").cast("long").alias("side"), "sig", "comp")
-    return groups.mapInArrow(_grouped(with_comp), "a long, b long").distinct()
+    groups = dealt.select("key", (low * F.col("chunks") + high).cast("long").alias("pair"), "node", "n", side.cast("long").alias("side"), "sig", *more)
+    return groups.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,20 +295,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     full = materialise(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     buckets = materialise(keys.join(full, "key"), "buckets")
     signed = nodes.select("node", "n", "sig")
-    first = materialise(_pairs(buckets.join(signed, "node").withColumn("comp", F.lit(0).cast("long")), chunk, False), "pairs")
+    first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests, "a long, b long").distinct(), "pairs")
     likely = materialise(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "nodes")
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(likely.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = materialise(wanted.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = materialise(_confirmed(first, sets, percent).unionByName(own), "links")
     part = materialise(connected_components(links), "components")
     placed = materialise(likely.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
-    second = materialise(_pairs(buckets.join(signed, "node").join(placed, "node"), chunk, True), "pairs")
-    more = _confirmed(second, sets, percent)
-    to = lambda c: placed.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    joined = materialise(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).where("a <> b").distinct(), "links")
-    whole = connected_components(joined.unionByName(links))
-    whole = materialise(whole, "components")
-    for t in (sets, buckets, full, nodes, first, second, placed, part, joined, links, likely, held):
+    # buckets of two had their only pair tested; those of one component have nothing to join
+    open_ = materialise(buckets.where("size > 2").join(placed, "node"), "buckets")
+    apart = materialise(open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "buckets")
+    rest = open_.join(apart, "key").join(nodes, "node")
+    rest = rest.join(sets.withColumn("n", F.size("shingles").cast("long")), ["node", "n"])
+    second = _grouped(rest, chunk, "comp", "bands", "shingles").mapInArrow(_joins(percent), "a long, b long").distinct()
+    joined = materialise(second, "links")
+    whole = materialise(connected_components(joined.unionByName(links)), "components")
+    for t in (sets, buckets, full, nodes, first, placed, part, open_, apart, joined, links, likely, held):
         discard(t)
     linked = member.join(whole, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
