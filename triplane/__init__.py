@@ -1,0 +1 @@
+"""RDF graphs as Spark DataFrames: patterns, joins, paths, aggregates, updates, readers and writers."""

@@ -1,0 +1 @@
+"""Streams: quad patterns, projections, filters and unions are plain DataFrame operations, and so work on streams too."""
