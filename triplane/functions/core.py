@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triplane.terms import (
     BNODE, DATETIME, DECIMAL, DOUBLE, DURATION, FLOAT, IRI, LANGSTRING, LITERAL, STRING,
-    bnode, boolean, canonical_decimal, decimal, double, ebv, exact, instant, integer, iri, is_numeric, is_plain, is_text, literal, number, rank, truth,
+    bnode, boolean, canonical_decimal, decimal, double, ebv, exact, instant, integer, iri, is_numeric, is_plain, is_text, literal, number, once, rank, truth,
 )
 
 # --- logic; three-valued as Spark's own: NULL is an error ---
@@ -422,3 +422,9 @@ def to_boolean(t: Column) -> Column:
     return boolean(of)
 
 
+
+
+for _name, _function in list(globals().items()):
+    if getattr(_function, "__module__", "") == __name__ and not _name.startswith("_") and callable(_function):
+        globals()[_name] = once(_function)
+del _name, _function

@@ -6,6 +6,9 @@ Where a variable always holds one kind of value, keep the native column: it join
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,24 @@ NUMERIC = (*INTEGERS, DECIMAL, FLOAT, DOUBLE)
 EXACT = "decimal(38,12)"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` mentions it."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
+
+
+def once(f):
+    """Makes a function bind its longer arguments first, so that nested calls grow in their sum and not their product."""
+
+    @wraps(f)
+    def run(*args, **named):
+        for i, a in enumerate(args):
+            if isinstance(a, Column) and len(str(a)) > 400:
+                return let(a, lambda v: run(*args[:i], v, *args[i + 1 :], **named))  # noqa: B023
+        return f(*args, **named)
+
+    return run
+
+
 def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -34,6 +55,8 @@ def _col(x) -> Column:
 def term(kind: int, lex, dt=None, lang=None) -> Column:
     """A term; NULL where ``lex`` is."""
     lex = _col(lex).cast("string")
+    if len(str(lex)) > 400:
+        return let(lex, lambda v: term(kind, v, dt, lang))
     made = F.struct(F.lit(kind).cast("tinyint").alias("kind"), lex.alias("lex"), _col(dt).cast("string").alias("dt"), _col(lang).cast("string").alias("lang"))
     return F.when(lex.isNotNull(), made)
 
@@ -54,25 +77,30 @@ def boolean(x: Column) -> Column:
     return literal(x.cast("string"), BOOLEAN)
 
 
+@once
 def integer(x: Column) -> Column:
     return literal(x.cast("bigint"), INTEGER)
 
 
+@once
 def canonical_decimal(x: Column) -> Column:
     """Decimal text without trailing zeros: 2.50 -> 2.5, 2.00 -> 2.0."""
     text = x.cast(EXACT).cast("string")
     return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ".0")
 
 
+@once
 def decimal(x: Column) -> Column:
     return literal(canonical_decimal(x), DECIMAL)
 
 
+@once
 def double(x: Column, dt: str = DOUBLE) -> Column:
     text = F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").otherwise(x.cast("string"))
     return literal(text, dt)
 
 
+@once
 def date_time(x: Column) -> Column:
     return literal(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), DATETIME)
 
@@ -108,6 +136,7 @@ def is_text(t: Column) -> Column:
     return (t["kind"] == LITERAL) & (t["dt"].isNull() | (t["dt"] == STRING))
 
 
+@once
 def is_numeric(t: Column) -> Column:
     return (t["kind"] == LITERAL) & F.coalesce(t["dt"].isin(*NUMERIC), F.lit(False)) & number(t).isNotNull()
 
@@ -120,6 +149,7 @@ def rank(t: Column) -> Column:
 _PLAIN_NUMBER, _ANY_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
+@once
 def number(t: Column) -> Column:
     """The value as double; NULL where it is not a sound number."""
     lex = t["lex"]
@@ -128,11 +158,13 @@ def number(t: Column) -> Column:
     return F.when(rank(t).isNotNull(), F.when(sound, lex.try_cast("double")).when(rank(t) >= 3, special))
 
 
+@once
 def exact(t: Column) -> Column:
     """The value of an integer or decimal as decimal; NULL for others."""
     return F.when((rank(t) <= 2) & t["lex"].rlike(_PLAIN_NUMBER), t["lex"].try_cast(EXACT))
 
 
+@once
 def instant(t: Column) -> Column:
     """A dateTime as a timestamp; without a time zone it counts as UTC."""
     sound = (t["dt"] == DATETIME) & t["lex"].rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$")
@@ -140,11 +172,13 @@ def instant(t: Column) -> Column:
     return F.when(sound, zoned.try_cast("timestamp"))
 
 
+@once
 def truth(t: Column) -> Column:
     """A boolean literal's value."""
     return F.when(t["dt"] == BOOLEAN, F.when(t["lex"].isin("true", "1"), True).when(t["lex"].isin("false", "0"), False))
 
 
+@once
 def ebv(t: Column) -> Column:
     """Effective boolean value; NULL is an error."""
     n = number(t)
