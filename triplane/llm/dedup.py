@@ -32,7 +32,7 @@ from triplane.llm.common import connected_components, discard, materialise
 
 WORDS = 5
 BANDS, ROWS = 28, 6
-PLACES = 1 << 22
+PLACES = 1 << 20
 LIKELY = 0.72
 #: Pairs whose sizes alone put their similarity below this, in percent, are not compared.
 LEAST = 80
@@ -43,7 +43,7 @@ class _Hashes(dict):
     """64-bit hashes of words; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -74,7 +74,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _circle(places: int, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_229)
-    first, second = (rng.permutation(places).astype(np.uint32) for _ in range(2))
+    first, second = (rng.permutation(np.arange(places, dtype=np.uint32)) for _ in range(2))
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: coordinates - 1]]), coordinates)
     return first, windows
 
@@ -114,6 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "h1", "h2", "sig", "bands"],
             )
+        pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +123,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, 512)
             found = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+        pa.default_memory_pool().release_unused()
 
 
 def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
@@ -202,7 +204,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.array(_forest(_alike(n[at], sig[at], side[at])), np.int64).reshape(-1, 2)
             out.append(np.sort(node[at][found], axis=1))
         fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
-        if len(seen) < 500_000:  # repeats of other bands go early; distinct() takes the others
+        if len(seen) < 50_000:  # repeats of other bands go early; distinct() takes the others
             seen.update(fresh)
         fresh = np.array(fresh, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], names=["a", "b"])

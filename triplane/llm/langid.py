@@ -136,6 +136,7 @@ def predict(docs: DataFrame, model: Codes, lead: float = 0.2, id_col: str = "doc
                     found.append(codes.decode(codes.margins(t)) if t and _LETTER.search(t) else (UNKNOWN, 0.0, 0.0))
                 pred, score, gap = zip(*found)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array([g < lead for g in gap])], names=names)
+            pa.default_memory_pool().release_unused()
 
     out = taken.mapInArrow(run, schema)
     return out.withColumnRenamed("_text", text_col) if text_col in keep else out.drop("_text")

@@ -181,6 +181,7 @@ def score(docs: DataFrame, model: Gam, threshold: float = 0.7, id_col: str = "do
                 x = np.array([features(t.as_py()) for t in part.column(1)])
                 s = shared.value.score(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema) + ", score double, predicted int"
     names = [*taken.columns, "score", "predicted"]
