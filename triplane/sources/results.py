@@ -142,7 +142,7 @@ def read_xml(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "result").schema(schema).load(path)
 
     def back(name: str) -> Column:
-        b = F.filter("binding", lambda x: x["_name"] == name)[0]
+        b = F.get(F.filter("binding", lambda x: x["_name"] == name), F.lit(0))
         return F.coalesce(term(IRI, b["uri"]), term(BNODE, b["bnode"]), term(LITERAL, F.when(b.isNotNull(), F.coalesce(b["literal"]["_VALUE"], F.lit(""))), b["literal"]["_datatype"], b["literal"]["_xml:lang"]))
 
     return rows.select(*(F.when(F.size("binding") > 0, back(v)).alias(v) for v in variables))
