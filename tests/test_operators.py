@@ -217,6 +217,6 @@ def test_star_reads_only_its_columns(spark):
     from triplane.plans import explain
     from triplane.sources.tables import mapped_tables
 
-    rows_ = mapped_tables(spark, "/root/testdata/sf0.001")["lineitem"].star("l", l_returnflag="f", l_quantity="q").where("q > 10").select("f")
+    rows_ = mapped_tables(spark, "/root/testdata/sf0.001")["lineitem"].star(None, l_returnflag="f", l_quantity="q").where("q > 10").select("f")
     plan = explain(rows_)
     assert "GreaterThan(l_quantity,10.0)" in plan and "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan

@@ -47,7 +47,7 @@ def _key(t):
 
 @_query("S1_scan", "SELECT l_returnflag AS flag, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_discount < 0.05 GROUP BY ALL")
 def _(t):
-    rows = t["lineitem"].star("l", l_returnflag="flag", l_quantity="qty", l_discount="d").where("d < 0.05")
+    rows = t["lineitem"].star(None, l_returnflag="flag", l_quantity="qty", l_discount="d").where("d < 0.05")
     return agg.group(rows, ["flag"], sum_qty=F.sum("qty"), n=agg.count_all())
 
 
@@ -188,7 +188,7 @@ def _(t):
 
 @_query("P3_select_expr", "SELECT l_orderkey AS o, round(l_extendedprice * (1 - l_discount), 4) AS price FROM lineitem")
 def _(t):
-    return solutions.extend(t["lineitem"].star("l", l_order="o", l_extendedprice="e", l_discount="d"), "price", F.round(F.col("e") * (1 - F.col("d")), 4)).select("o", "price")
+    return solutions.extend(t["lineitem"].star(None, l_order="o", l_extendedprice="e", l_discount="d"), "price", F.round(F.col("e") * (1 - F.col("d")), 4)).select("o", "price")
 
 
 @_query("P4_filter", "SELECT o_orderkey AS o FROM orders WHERE o_totalprice > 200000 AND o_orderpriority LIKE '1%'")
@@ -230,7 +230,7 @@ def _(t):
 
 @_query("J2_star_5", "SELECT l_returnflag AS flag, l_linestatus AS status, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 4) AS disc, count(*) AS n FROM lineitem WHERE l_tax <= 0.06 GROUP BY ALL")
 def _(t):
-    rows = t["lineitem"].star("l", l_returnflag="flag", l_linestatus="status", l_quantity="q", l_extendedprice="e", l_discount="d", l_tax="x").where("x <= 0.06")
+    rows = t["lineitem"].star(None, l_returnflag="flag", l_linestatus="status", l_quantity="q", l_extendedprice="e", l_discount="d", l_tax="x").where("x <= 0.06")
     return agg.group(rows, ["flag", "status"], qty=F.round(F.sum("q"), 2), price=F.round(F.sum("e"), 2), disc=F.round(F.avg("d"), 4), n=agg.count_all())
 
 
@@ -248,12 +248,12 @@ def _(t):
 
 @_query("J4_optional", "SELECT o_orderkey AS o, l_quantity AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
 def _(t):
-    return joins.optional(t["orders"].star("o"), t["lineitem"].star("l", l_order="o", l_quantity="q")).select("o", "q")
+    return joins.optional(t["orders"].star("o"), t["lineitem"].star(None, l_order="o", l_quantity="q")).select("o", "q")
 
 
 @_query("J4_optional_filter", "SELECT o_orderkey AS o, l_extendedprice AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_extendedprice > o_totalprice / 4")
 def _(t):
-    return joins.optional(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star("l", l_order="o", l_extendedprice="e"), joins.right("e") > F.col("t") / 4).select("o", "e")
+    return joins.optional(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star(None, l_order="o", l_extendedprice="e"), joins.right("e") > F.col("t") / 4).select("o", "e")
 
 
 @_query("J4_optional_nested", """
@@ -289,7 +289,7 @@ SELECT o_orderkey AS o, n_name AS nation, count(*) AS n, round(sum(l_extendedpri
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_orderstatus = 'O' GROUP BY ALL""")
 def _(t):
-    rows = joins.join(t["lineitem"].star("l", l_order="o", l_extendedprice="e", l_discount="d"), t["orders"].star("o", o_customer="c", o_orderstatus="s").where("s = 'O'"))
+    rows = joins.join(t["lineitem"].star(None, l_order="o", l_extendedprice="e", l_discount="d"), t["orders"].star("o", o_customer="c", o_orderstatus="s").where("s = 'O'"))
     rows = joins.join(joins.join(rows, t["customer"].star("c", c_nation="k")), t["nation"].star("k", n_name="nation"))
     return agg.group(rows, ["o", "nation"], n=agg.count_all(), revenue=F.round(F.sum(F.col("e") * (1 - F.col("d"))), 4))
 
@@ -301,7 +301,7 @@ def _(t):
 
 @_query("J7_minus", "SELECT o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
-    return joins.minus(t["orders"].star("o"), t["lineitem"].star("l", l_order="o").select("o"))
+    return joins.minus(t["orders"].star("o"), t["lineitem"].star(None, l_order="o").select("o"))
 
 
 @_query("J7_minus_disjoint", "SELECT r_name AS name FROM region")
@@ -325,12 +325,12 @@ def _(t):
 
 @_query("J8_not_exists", "SELECT o_orderkey AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > o_totalprice / 10)")
 def _(t):
-    return joins.not_exists(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star("l", l_order="o", l_extendedprice="e").select("o", "e"), joins.right("e") > F.col("t") / 10).select("o")
+    return joins.not_exists(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star(None, l_order="o", l_extendedprice="e").select("o", "e"), joins.right("e") > F.col("t") / 10).select("o")
 
 
 @_query("J8_exists_in_or", "SELECT o_orderkey AS o FROM orders WHERE o_totalprice < 5000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 def _(t):
-    rows = joins.exists_flag(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star("l", l_order="o", l_quantity="q").where("q > 49").select("o"), "big")
+    rows = joins.exists_flag(t["orders"].star("o", o_totalprice="t"), t["lineitem"].star(None, l_order="o", l_quantity="q").where("q > 49").select("o"), "big")
     return rows.where(F.col("big") | (F.col("t") < 5000)).select("o")
 
 
@@ -441,7 +441,7 @@ def _(t):
 
 @_query("A2_implicit_group", "SELECT count(*) AS n, coalesce(sum(l_quantity), 0) AS q FROM lineitem WHERE l_quantity < 0")
 def _(t):
-    return agg.group(t["lineitem"].star("l", l_quantity="q").where("q < 0"), [], n=agg.count_all(), q=agg.total(F.col("q")))
+    return agg.group(t["lineitem"].star(None, l_quantity="q").where("q < 0"), [], n=agg.count_all(), q=agg.total(F.col("q")))
 
 
 @_query("A3_count_distinct", "SELECT o_orderstatus AS s, count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders GROUP BY ALL")
@@ -456,7 +456,7 @@ def _(t):
 
 @_query("A5_sum", "SELECT l_returnflag AS flag, sum(l_quantity) AS q FROM lineitem GROUP BY ALL")
 def _(t):
-    return agg.group(t["lineitem"].star("l", l_returnflag="flag", l_quantity="q"), ["flag"], q=agg.total(F.col("q")))
+    return agg.group(t["lineitem"].star(None, l_returnflag="flag", l_quantity="q"), ["flag"], q=agg.total(F.col("q")))
 
 
 @_query("A5_sum_terms", "SELECT p_brand AS brand, CASE WHEN bool_or(p_size = 50) THEN NULL ELSE sum(p_size) END::BIGINT AS total FROM part GROUP BY ALL")
@@ -565,7 +565,7 @@ def _(t):
 
 @_query("T2_distinct", "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")
 def _(t):
-    return solutions.distinct(t["lineitem"].star("l", l_returnflag="f", l_linestatus="s").select("f", "s"))
+    return solutions.distinct(t["lineitem"].star(None, l_returnflag="f", l_linestatus="s").select("f", "s"))
 
 
 # --- graphs ---

@@ -29,13 +29,15 @@ class Mapped:
     langs: dict[str, str] = field(default_factory=dict)  # predicate -> column with the language of its strings
     kind: str | None = None
 
-    def star(self, subject: str, **variables: str) -> DataFrame:
+    def star(self, subject: str | None, **variables: str) -> DataFrame:
         """Rows that have every predicate asked for: ``star("l", l_quantity="qty", l_order="o")`` gives l, qty, o.
 
-        The subject is the native key; a predicate's name goes without its namespace. A NULL has no triple.
+        The subject is the native key, left out if it is None; a predicate's name goes without its namespace. A NULL
+        has no triple.
         """
         chosen = {name: self.links[p][0] if p in self.links else self.columns[p] for p, name in variables.items()}
-        out = self.df.select(F.col(self.key).alias(subject), *(F.col(c).alias(n) for n, c in chosen.items()))
+        own = [] if subject is None else [F.col(self.key).alias(subject)]
+        out = self.df.select(*own, *(F.col(c).alias(n) for n, c in chosen.items()))
         return out.dropna(subset=list(chosen)) if chosen else out
 
     def subject(self, key: Column) -> Column:
@@ -61,7 +63,7 @@ class Mapped:
         return self.df.select(self.subject(F.col(self.key)).alias("s"), pairs).where("t.o IS NOT NULL").select("s", "t.p", "t.o", iri(graph).alias("g"))
 
 
-_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_row", "events": "event_id", "documents": "doc_id"}
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "_metadata.row_index", "events": "event_id", "documents": "doc_id"}
 _LINKS = {
     "nation": {"n_region": ("n_regionkey", "region")}, "customer": {"c_nation": ("c_nationkey", "nation")}, "supplier": {"s_nation": ("s_nationkey", "nation")},
     "orders": {"o_customer": ("o_custkey", "customer")}, "events": {"e_user": ("user_id", "customer")},
@@ -77,8 +79,6 @@ def mapped_tables(spark: SparkSession, folder: str) -> dict[str, Mapped]:
     out = {}
     for name, key in _KEYS.items():
         df = spark.read.parquet(f"{folder}/{name}.parquet")
-        if name == "lineitem":
-            df = df.withColumn("l_row", F.col("_metadata.row_index"))
         links = {p: (c, f"{NS}{t}/{{}}") for p, (c, t) in _LINKS.get(name, {}).items()}
         columns = {c: c for c in df.columns if c != key}
         langs = {"text": "lang"} if name == "documents" else {}
