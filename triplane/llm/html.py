@@ -48,7 +48,7 @@ TAGS = (
 WORDS = (
     "article|post|entry|story|content|body|text|main|prose|richtext",
     "nav|navbar|navigation|menu|breadcrumb|breadcrumbs|toc|pagination|pager|tabs|skip",
-    "header|masthead|topbar|logo|branding|banner",
+    "header|masthead|top|topbar|logo|branding|banner",
     "footer|foot|bottom|copyright|colophon|legal|imprint|impressum",
     "sidebar|aside|widget|rail|related|recommended|recommendations|popular|trending|teaser|more|promo|promoted|newsletter|subscribe|signup",
     "ad|ads|advert|advertisement|advertorial|adsense|sponsor|sponsored|sponsors|sponsoring|dfp|doubleclick|werbung|anzeige",
@@ -62,7 +62,8 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidd
 _WORD = re.compile(r"[a-z]+")
 _KINDS = [frozenset(w.split("|")) for w in WORDS]
 _TAG = {t: i for i, tags in enumerate(TAGS) for t in tags}
-N_FEATURES = 1 + len(TAGS) + len(WORDS) + 9
+_MAIN, _COMMENT = {_TAG["article"], _TAG["main"]}, next(i for i, k in enumerate(_KINDS) if "comment" in k)
+N_FEATURES = 1 + len(TAGS) + len(WORDS) + 10
 
 
 @dataclass
@@ -236,9 +237,23 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x[:, f + 5] = whole == 0
     x[:, f + 6] = np.minimum(depth, 12) / 12
     x[:, f + 7] = np.log1p(whole / np.maximum(items, 1)) / 6
+    x[:, f + 8] = np.concatenate([_outside(p) for p in pages])
     return x, parent, depth
 
 
+def _outside(page: Page) -> np.ndarray:
+    """Blocks apart from the page's articles and main parts, where it has any; a reader's comment is no article."""
+    main = [t in _MAIN and _COMMENT not in k for t, k in zip(page.tag, page.kinds)]
+    if not any(main):
+        return np.zeros(len(main))
+    within, around = main.copy(), main.copy()
+    for i in range(1, len(main)):
+        within[i] = within[i] or within[page.parent[i]]
+    for i in range(len(main) - 1, 0, -1):
+        around[page.parent[i]] = around[page.parent[i]] or around[i]
+    return ~(np.array(within) | np.array(around))
+
+
 def _between(parent_x: np.ndarray, child_x: np.ndarray) -> np.ndarray:
     """Kind of each parent-child edge: the child names a role of its own, or heads a section, or neither."""
     tags = slice(1 + 10, 1 + 15)
@@ -335,7 +350,7 @@ def labelled_pages(n: int, seed: int = 0) -> tuple[list[Page], list[list[bool]]]
         if k == 0:
             return named(("nav", "div", "ul"), WORDS[1], links(2, 9))
         if k == 1:
-            return named(("header", "div"), WORDS[2], pick((links(1, 6), paras(1, 1), f"<h1>{words(1, 3)}</h1>{links(2, 5)}")))
+            return named(("header", "div"), WORDS[2], pick((links(1, 6), paras(1, 1), f"<h1>{words(1, 3)}</h1>{links(2, 5)}", f"<h1>{words(1, 4)}</h1>")))
         if k == 2:
             return named(("footer", "div"), WORDS[3], pick((links(1, 6), "&copy; " + words(3, 14), paras(1, 2))))
         if k == 3:
