@@ -15,7 +15,7 @@ from triplane.operators.patterns import A, bgp, match, node, value, var
 from triplane.operators.updates import Store
 from triplane.sources import statistics
 from triplane.sources.tables import NS, Mapped, mapped_tables
-from triplane.terms import DATETIME, STRING, XSD, date_time, decimal, integer, iri, literal, number
+from triplane.terms import DATETIME, STRING, XSD, date_time, decimal, double, integer, iri, literal, number
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
