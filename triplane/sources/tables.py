@@ -71,16 +71,26 @@ _LINKS = {
 }
 
 
-def mapped_tables(spark: SparkSession, folder: str) -> dict[str, Mapped]:
-    """The tables of a folder of Parquet files as mapped graphs, namespace ``http://ex.org/``.
+class Tables(dict):
+    """Mapped graphs by name, each opened when it is first asked for."""
 
-    ``lineitem`` has no key of its own: a row's place in its file is its subject.
-    """
-    out = {}
-    for name, key in _KEYS.items():
-        df = spark.read.parquet(f"{folder}/{name}.parquet")
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def __missing__(self, name: str) -> Mapped:
+        key = _KEYS[name]
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         links = {p: (c, f"{NS}{t}/{{}}") for p, (c, t) in _LINKS.get(name, {}).items()}
         columns = {c: c for c in df.columns if c != key}
         langs = {"text": "lang"} if name == "documents" else {}
-        out[name] = Mapped(df, f"{NS}{name}/{{}}", key, columns, links, langs, NS + name.capitalize())
-    return out
+        self[name] = Mapped(df, f"{NS}{name}/{{}}", key, columns, links, langs, NS + name.capitalize())
+        return self[name]
+
+
+def mapped_tables(spark: SparkSession, folder: str) -> Tables:
+    """The tables of a folder of Parquet files as mapped graphs, namespace ``http://ex.org/``.
+
+    ``lineitem`` has no key of its own: a row's place in its file is its subject.
+    """
+    return Tables(spark, folder)
