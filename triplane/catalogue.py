@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +123,38 @@ def _(t):
     return joins.join(solutions.unit(t["nation"].df.sparkSession), t["nation"].star("n", n_name="name")).select("name")
 
 
+def _written_lines(t, name: str, **kind) -> str:
+    """A folder of statements of one table."""
+    from triplane.sources.rdf import write_rdf
+    from triplane.written import shared_dir
+
+    path = f"{shared_dir(t[name].df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_rdf(t[name].quads(**kind).drop("g"), path)
+    return path
+
+
+@_query("S4_whole_scan", "SELECT 'http://ex.org/nation/' || n_nationkey AS s, p FROM nation, (VALUES ('n_name'), ('n_region'), ('type'), ('n_regionkey')) v(p)")
+def _(t):
+    rows = match(t["nation"].quads(), var("s"), var("p"), var("o"))
+    return rows.select(F.col("s.lex").alias("s"), F.regexp_extract(F.col("p.lex"), "[^/#]+$", 0).alias("p"))
+
+
+@_query("S7_load_sources", "SELECT 'urn:n' AS g, count(*) AS n FROM nation UNION ALL SELECT 'urn:r', count(*) FROM region")
+def _(t):
+    from triplane.sources.rdf import load
+
+    sources = [{"file": _written_lines(t, "nation", only=("n_name",)), "graph": "urn:n"}, {"file": _written_lines(t, "region", only=("r_name",)), "graph": "urn:r"}]
+    return agg.group(load(t["nation"].df.sparkSession, sources).select(F.col("g.lex").alias("g")), ["g"], n=agg.count_all())
+
+
+@_query("S12_ntriples", "SELECT c_custkey AS c, c_name AS name FROM customer")
+def _(t):
+    from triplane.sources.rdf import read_rdf
+
+    quads = read_rdf(t["customer"].df.sparkSession, _written_lines(t, "customer", only=("c_name",)))
+    return match(quads, var("c"), _p("c_name"), var("name")).select(_key(F.col("c")).alias("c"), F.col("name.lex").alias("name"))
+
+
 # --- sinks ---
 
 
@@ -139,6 +172,13 @@ def _(t):
     return tsv_lines(t["region"].star("r", r_name="name"))
 
 
+@_query("K4_xml_results", """SELECT '<result><binding name="name"><literal>' || r_name || '</literal></binding></result>' AS value FROM region""")
+def _(t):
+    from triplane.sources.results import xml_lines
+
+    return xml_lines(t["region"].star("r", r_name="name").select("name"))
+
+
 @_query("K5_ntriples", "SELECT '<http://ex.org/customer/' || c_custkey || '> <http://ex.org/c_name> \"' || c_name || '\" .' AS value FROM customer")
 def _(t):
     from triplane.sources.rdf import statements
@@ -160,6 +200,15 @@ def _(t):
     return json_lines(t["region"].star("r", r_name="name").select("name"))
 
 
+@_query("K9_dump", """
+SELECT '<http://ex.org/region/' || r_regionkey || '> <http://ex.org/r_name> "' || r_name || '" <urn:g> .' AS value FROM region
+UNION ALL SELECT '<http://ex.org/region/' || r_regionkey || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://ex.org/Region> <urn:g> .' FROM region""")
+def _(t):
+    from triplane.sources.rdf import statements
+
+    return statements(t["region"].quads("urn:g"))
+
+
 @_query("K8_void_stats", """
 SELECT 'triples' AS kind, NULL AS term, (SELECT count(*) * 4 FROM nation) AS n
 UNION ALL SELECT 'predicate', p, (SELECT count(*) FROM nation) FROM (VALUES ('http://ex.org/n_name'), ('http://ex.org/n_regionkey'), ('http://ex.org/n_region'), ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type')) v(p)
@@ -546,6 +595,12 @@ def _(t):
     return solutions.cut(solutions.order(t["part"].star("p", p_retailprice="r"), (F.col("r"), False), (F.col("p"), True)), 25, 10)
 
 
+@_query("O4_top_k", "SELECT l_orderkey AS o, l_extendedprice AS e FROM lineitem ORDER BY e DESC, o LIMIT 40")
+def _(t):
+    rows = t["lineitem"].star(None, l_order="o", l_extendedprice="e").select("o", "e")
+    return solutions.cut(solutions.order(rows, (F.col("e"), False), (F.col("o"), True)), 40)
+
+
 @_query("O5_distinct_ordered", "SELECT DISTINCT p_brand AS b FROM part ORDER BY b DESC LIMIT 5")
 def _(t):
     return solutions.cut(solutions.order(solutions.distinct(t["part"].star("p", p_brand="b").select("b")), (F.col("b"), False)), 5)
@@ -586,6 +641,12 @@ def _(t):
     return match(Dataset(_graphs(t)).graphs(), var("x"), _p("n_name"), var("name"), var("g")).select(F.col("g.lex").alias("g"), F.col("name.lex").alias("name"))
 
 
+@_query("G3_from_named", "SELECT 'http://ex.org/g/2' AS g, r_name AS name FROM region")
+def _(t):
+    seen = Dataset(_graphs(t), defaults=(NS + "g/1",), named=(NS + "g/2",)).graphs()
+    return match(seen, var("x"), _p("r_name"), var("name"), var("g")).select(F.col("g.lex").alias("g"), F.col("name.lex").alias("name"))
+
+
 @_query("G4_from_merge", "SELECT (SELECT count(*) * 4 FROM nation) + (SELECT count(*) * 2 FROM region) AS n")
 def _(t):
     return agg.group(Dataset(_graphs(t), defaults=(NS + "g/1", NS + "g/2")).default(), [], n=agg.count_all())
@@ -611,6 +672,26 @@ def _(t):
     return made.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
+@_query("F4_construct_where", "SELECT DISTINCT 'http://ex.org/nation/' || n_nationkey AS s, 'http://ex.org/nation/n_name' AS p, n_name AS o FROM nation")
+def _(t):
+    pattern = (var("x"), _p("n_name"), var("name"))
+    made = forms.construct(match(t["nation"].quads(), *pattern), pattern)
+    return made.select(F.col("s.lex").alias("s"), F.concat(F.lit(NS + "nation/"), F.substring_index(F.col("p.lex"), "/", -1)).alias("p"), F.col("o.lex").alias("o"))
+
+
+@_query("F6_subselect_limit", """
+SELECT o_orderkey AS o, c_name AS name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) JOIN customer ON c_custkey = o_custkey""")
+def _(t):
+    top = solutions.cut(solutions.order(t["orders"].star("o", o_customer="c", o_totalprice="p"), (F.col("p"), False), (F.col("o"), True)), 30)
+    return joins.join(top.select("o", "c"), t["customer"].star("c", c_name="name")).select("o", "name")
+
+
+@_query("F8_values_after", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
+def _(t):
+    grouped = agg.group(t["customer"].star("c", c_mktsegment="seg"), ["seg"], n=agg.count_all())
+    return joins.join(grouped, solutions.values(t["customer"].df.sparkSession, "seg string", [("BUILDING",), ("MACHINERY",)]))
+
+
 @_query("F5_describe", "SELECT 'http://ex.org/region/1' AS s, 'http://ex.org/r_name' AS p, r_name AS o FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'http://ex.org/region/1', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://ex.org/Region'")
 def _(t):
     quads = t["region"].quads()
@@ -651,6 +732,11 @@ def _(s, t):
     return s.delete(t["nation"].quads("urn:a", only=("n_name",)))
 
 
+@_update("U3_load", f"SELECT 'urn:a' AS g, {_N} * 2 AS n UNION ALL SELECT 'urn:b', {_R}")
+def _(s, t):
+    return s.load(_written_lines(t, "region", only=("r_name",)), "urn:b")
+
+
 @_update("U4_modify", f"SELECT 'urn:a' AS g, {_N} * 2 AS n UNION ALL SELECT 'urn:log', {_N}")
 def _(s, t):
     found = match(s.quads, var("x"), _p("n_name"), var("name"))
@@ -693,6 +779,24 @@ def _(s, t):
     return s.insert(t["region"].quads("urn:b")).move("urn:a", "urn:b")
 
 
+@_update("F7_sequence", f"SELECT 'urn:c' AS g, {_N} * 2 AS n UNION ALL SELECT 'urn:d', {_R} * 2")
+def _(s, t):
+    return s.insert(t["region"].quads("urn:b")).copy("urn:a", "urn:c").move("urn:b", "urn:d").drop("urn:a")
+
+
+@_update("G6_using", f"SELECT 'urn:a' AS g, {_N} * 2 AS n UNION ALL SELECT 'urn:b', {_R} * 2 UNION ALL SELECT 'urn:names', {_N} + {_R}")
+def _(s, t):
+    s = s.insert(t["region"].quads("urn:b"))
+    seen = Dataset(s.quads, defaults=("urn:a", "urn:b")).default()
+    names = solutions.union(match(seen, var("x"), _p("n_name"), var("name")), match(seen, var("x"), _p("r_name"), var("name")))
+    return s.modify(names, insert=((var("x"), _p("label"), var("name")),), graph="urn:names")
+
+
+@_update("U11_silent", f"SELECT 'urn:a' AS g, {_N} * 2 AS n")
+def _(s, t):
+    return s.load("/none/such.nt", silent=True).add("urn:none", "urn:b", silent=True).move("urn:none", "urn:b", silent=True).clear("urn:none", silent=True)
+
+
 # --- scalar functions, on columns of terms ---
 
 

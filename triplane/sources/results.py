@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,26 @@ def json_lines(df: DataFrame) -> DataFrame:
     return as_terms(df).select(F.to_json(F.struct(*(_binding(F.col(f"`{c}`")).alias(c) for c in df.columns))).alias("value"))
 
 
+def _marked(text: Column) -> Column:
+    """Text as it stands in XML, in attributes too; a carriage return is a reference, as readers would change it."""
+    for c, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(c), F.lit(mark))
+    return text
+
+
+def xml_lines(df: DataFrame) -> DataFrame:
+    """A ``result`` element for each solution; unbound variables are left out."""
+
+    def binding(name: str) -> Column:
+        t = F.col(f"`{name}`")
+        attribute = lambda key, c: F.coalesce(F.concat(F.lit(f' {key}="'), _marked(c), F.lit('"')), F.lit(""))
+        tag = F.when(t["kind"] == IRI, "uri").when(t["kind"] == BNODE, "bnode").otherwise("literal")
+        opened = F.concat(F.lit("<"), tag, attribute("xml:lang", t["lang"]), attribute("datatype", t["dt"]), F.lit(">"))
+        return F.when(t.isNotNull(), F.concat(F.lit(f"<binding name={quoteattr(name)}>"), opened, _marked(t["lex"]), F.lit("</"), tag, F.lit("></binding>")))
+
+    return as_terms(df).select(F.concat_ws("", F.lit("<result>"), *(binding(c) for c in df.columns), F.lit("</result>")).alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.text(path)
 
@@ -76,15 +96,8 @@ def to_xml(df: DataFrame) -> str:
     head = '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n'
     if df.columns == ["result"] and df.schema[0].dataType.simpleString() == "boolean":
         return f"{head}<head></head>\n<boolean>{str(df.first()[0]).lower()}</boolean>\n</sparql>\n"
-    out = [head, "<head>", *(f"<variable name={quoteattr(c)}/>" for c in df.columns), "</head>\n<results>\n"]
-    for line in _text(json_lines(df)):
-        out.append("<result>")
-        for name, b in json.loads(line).items():
-            tag = {"uri": "uri", "bnode": "bnode", "literal": "literal"}[b["type"]]
-            more = (f' xml:lang={quoteattr(b["xml:lang"])}' if "xml:lang" in b else "") + (f' datatype={quoteattr(b["datatype"])}' if "datatype" in b else "")
-            out.append(f"<binding name={quoteattr(name)}><{tag}{more}>{escape(b['value'])}</{tag}></binding>")
-        out.append("</result>\n")
-    return "".join([*out, "</results>\n</sparql>\n"])
+    names = "".join(f"<variable name={quoteattr(c)}/>" for c in df.columns)
+    return "".join([head, f"<head>{names}</head>\n<results>\n", *(f"{x}\n" for x in _text(xml_lines(df))), "</results>\n</sparql>\n"])
 
 
 def to_table(df: DataFrame, rows: int = 100, prefixes: dict[str, str] | None = None, numbers: bool = False) -> str:
