@@ -473,3 +473,13 @@ def test_pipeline_of_odd_rows(spark, odd):
     one = c.keep_one_of_copies(spark, odd, FOLDER)
     assert Counter(out_of(one, "doc_id")) == Counter([(None,), (1,), (2,), (3,), (4,), (6,), (7,), (8,)])
     assert c.keep_one_of_copies(spark, odd.limit(0), FOLDER).count() == 0
+
+
+def test_least_hashed(spark, none):
+    from triplane.llm.common import least_hashed
+
+    rows = spark.range(5000).unionByName(spark.range(40).selectExpr("IF(id < 30, 7L, NULL) AS id"))
+    for n in (1, 60, 4000, 9000):
+        want = rows.orderBy(F.xxhash64("id"), "id").limit(n)
+        assert [r[0] for r in least_hashed(rows, "id", n).collect()] == [r[0] for r in want.collect()]
+    assert least_hashed(none, "doc_id", 5).count() == 0
