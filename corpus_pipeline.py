@@ -13,6 +13,8 @@ from triplane.llm.common import held_out, materialise
 
 #: Scores below this are rejected; between it and the classifier's own threshold a document may well be clean.
 LEAST_QUALITY = 0.5
+#: Least similarity of near-duplicates over runs of five words, in percent.
+LEAST_SIMILARITY = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one row of each doc_id; rows without a doc_id all stay."""
-    kept = dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    kept = dedup.near_duplicates(docs, LEAST_SIMILARITY).where("kept AND doc_id IS NOT NULL").select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 

@@ -467,6 +467,23 @@ def test_pipeline(spark):
     assert dict(sizes) == want
 
 
+def test_pipeline_drops_copies_of_80_percent(spark):
+    import corpus_pipeline as c
+    from triplane.llm import dedup
+
+    docs = []
+    for k in range(1000):  # shingles shared and of either: 80 of 100 to 84 of 100 in one half, 79 of 101 in the other
+        both, own = (80 + k % 10 // 2, 10 - k % 10 // 4) if k < 500 else (79, 11)
+        same = [f"s{k}x{j}" for j in range(both + 4)]
+        docs += [(2 * k + i, " ".join(same + [f"o{k}x{i}x{j}" for j in range(own)])) for i in range(2)]
+    sets = [set(dedup.shingles(t).tolist()) for _, t in docs]
+    want = {i for i, _ in docs if i % 2 == 0 or 100 * len(sets[i] & sets[i - 1]) < 80 * len(sets[i] | sets[i - 1])}
+    assert len(want) == 1500
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(out_of(c.keep_one_of_copies(spark, df, FOLDER), "doc_id")) == Counter((i,) for i in want)
+    assert dedup.banding(85) == (28, 6, 0.72) and dedup.banding(80)[:2] == (34, 5)
+
+
 def test_pipeline_of_odd_rows(spark, odd):
     import corpus_pipeline as c
 

@@ -13,12 +13,14 @@ of one shingle for all coordinates stand side by side in the second permutation.
    and their groups confirm pairs, most alike first, until no two components are left that a likely pair could join.
    A pair inside a component needs no test, as it cannot change the components.
 
-A pair is likely if its signatures agree in 72 % of the coordinates or more; at a similarity of 0.85 that misses about
-two pairs in a million, and no shared band as many.
+A pair is likely if its signatures agree in enough of their coordinates: at 85 percent 72 % of 168, in 28 bands of six;
+at 80 percent 110 of 170, in 34 bands of five. Over independent coordinates, five pairs in a million at a similarity of
+0.85 fail that test, one at 0.80, and two or fewer share no band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +36,33 @@ WORDS = 5
 BANDS, ROWS = 28, 6
 PLACES = 1 << 20
 LIKELY = 0.72
+#: The chance allowed for a pair at the least similarity to share no band, and to fall short of the likely ones.
+MISS = 2e-6
 #: Pairs whose sizes alone put their similarity below this, in percent, are not compared.
 LEAST = 80
 CHUNK = 256
 
 
+@lru_cache
+def banding(percent: int) -> tuple[int, int, float]:
+    """(bands, rows, likely) for pairs of ``percent`` or more; from 85 up the constants above.
+
+    Below, as many rows a band as leave the coordinates about as many, with the bands that ``MISS`` asks for; likely is
+    half a coordinate under the most agreements that a pair misses with that chance.
+    """
+    if percent >= 85:
+        return BANDS, ROWS, LIKELY
+    share = percent / 100
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(share**rows)))
+        if bands * rows <= BANDS * ROWS + ROWS:
+            break
+    n, least, under = bands * rows, 0, 0.0
+    while (under := under + math.comb(n, least) * share**least * (1 - share) ** (n - least)) <= MISS:
+        least += 1
+    return bands, rows, (least - 0.5) / n
+
+
 class _Hashes(dict):
     """64-bit hashes of words; starts anew when full."""
 
@@ -96,25 +120,28 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
-            n, h1, h2, sigs, keys = [], [], [], [], []
-            for text in part.column(1):
-                found = shingles(text.as_py())
-                n.append(len(found))
-                raw = found.tobytes()
-                h1.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
-                h2.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                sig = signature(found) if len(found) else None
-                sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
-                keys.append(None if sig is None else band_keys(sig))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "sig", "bands"],
-            )
-        pa.default_memory_pool().release_unused()
+def _signed(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                n, h1, h2, sigs, keys = [], [], [], [], []
+                for text in part.column(1):
+                    found = shingles(text.as_py())
+                    n.append(len(found))
+                    raw = found.tobytes()
+                    h1.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
+                    h2.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
+                    sig = signature(found, bands * rows) if len(found) else None
+                    sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
+                    keys.append(None if sig is None else band_keys(sig, bands, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "h1", "h2", "sig", "bands"],
+                )
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +153,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
-def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
+def _forest(alike: np.ndarray, likely: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that are likely, most alike first (Prim)."""
     m = len(alike)
     todo, best, by = np.ones(m, bool), np.zeros(m, np.float32), np.full(m, -1)
     out = []
     for _ in range(m):
         i = int(np.argmax(np.where(todo, best, -1)))
-        if best[i] >= LIKELY:
+        if best[i] >= likely:
             out.append((int(by[i]), i))
         todo[i] = False
         nearer = alike[i] > best
@@ -189,28 +216,31 @@ def _bounds(group: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1, [len(group)]])
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups -> the pairs of a spanning forest of what is likely in each."""
-    seen: set[tuple[int, int]] = set()
-    for group, node, n, side, sig in _whole_groups(batches):
-        bounds = _bounds(group)
-        start, size = bounds[:-1], np.diff(bounds)
-        two = start[size == 2]
-        ok = ((sig[two] == sig[two + 1]).mean(1) >= LIKELY) & (100 * np.minimum(n[two], n[two + 1]) >= LEAST * np.maximum(n[two], n[two + 1]))
-        ok &= (side[two] == 0) | (side[two] != side[two + 1])
-        out = [np.sort(np.stack([node[two[ok]], node[two[ok] + 1]], 1), axis=1)]
-        for s, k in zip(start[size > 2], size[size > 2]):
-            at = slice(s, s + k)
-            found = np.array(_forest(_alike(n[at], sig[at], side[at])), np.int64).reshape(-1, 2)
-            out.append(np.sort(node[at][found], axis=1))
-        fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
-        if len(seen) < 50_000:  # repeats of other bands go early; distinct() takes the others
-            seen.update(fresh)
-        fresh = np.array(fresh, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], names=["a", "b"])
-
-
-def _joins(percent: int):
+def _forests(likely: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups -> the pairs of a spanning forest of what is likely in each."""
+        seen: set[tuple[int, int]] = set()
+        for group, node, n, side, sig in _whole_groups(batches):
+            bounds = _bounds(group)
+            start, size = bounds[:-1], np.diff(bounds)
+            two = start[size == 2]
+            ok = ((sig[two] == sig[two + 1]).mean(1) >= likely) & (100 * np.minimum(n[two], n[two + 1]) >= LEAST * np.maximum(n[two], n[two + 1]))
+            ok &= (side[two] == 0) | (side[two] != side[two + 1])
+            out = [np.sort(np.stack([node[two[ok]], node[two[ok] + 1]], 1), axis=1)]
+            for s, k in zip(start[size > 2], size[size > 2]):
+                at = slice(s, s + k)
+                found = np.array(_forest(_alike(n[at], sig[at], side[at]), likely), np.int64).reshape(-1, 2)
+                out.append(np.sort(node[at][found], axis=1))
+            fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
+            if len(seen) < 50_000:  # repeats of other bands go early; distinct() takes the others
+                seen.update(fresh)
+            fresh = np.array(fresh, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(fresh[:, 0]), pa.array(fresh[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _joins(percent: int, likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups with their components and full sets -> links that join components, confirmed; most alike first.
 
@@ -228,7 +258,7 @@ def _joins(percent: int):
                 here = np.argmax(keys[0] == group[s, 0])
                 tests = []
                 for i in range(e - s):
-                    js = np.flatnonzero(alike[i, i + 1 :] >= LIKELY) + i + 1
+                    js = np.flatnonzero(alike[i, i + 1 :] >= likely) + i + 1
                     if len(js):
                         js = js[np.argmax(keys[js] == keys[i], axis=1) == here]
                         tests += [(-alike[i, j], i, j) for j in js]
@@ -282,7 +312,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links. Rows that repeat a doc_id are one document with several texts. A null doc_id links with nothing:
     component_id null, kept. Empty table: no rows. Other columns are not read. Ids are integers.
     """
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
+    n_bands, n_rows, bar = banding(percent)
+    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_signed(n_bands, n_rows), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
     real = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = ["h1", "h2", "n"]
     held = materialise(real.groupBy(*same).agg(F.min("doc_id").alias("node")), "nodes")
@@ -297,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     full = materialise(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     buckets = materialise(keys.join(full, "key"), "buckets")
     signed = nodes.select("node", "n", "sig")
-    first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests, "a long, b long").distinct(), "pairs")
+    first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests(bar), "a long, b long").distinct(), "pairs")
     likely = materialise(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "nodes")
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(likely.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = materialise(wanted.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
@@ -309,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     apart = materialise(open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "buckets")
     rest = open_.join(apart, "key").join(nodes, "node")
     rest = rest.join(sets.withColumn("n", F.size("shingles").cast("long")), ["node", "n"])
-    second = _grouped(rest, chunk, "comp", "bands", "shingles").mapInArrow(_joins(percent), "a long, b long").distinct()
+    second = _grouped(rest, chunk, "comp", "bands", "shingles").mapInArrow(_joins(percent, bar), "a long, b long").distinct()
     joined = materialise(second, "links")
     whole = materialise(connected_components(joined.unionByName(links)), "components")
     for t in (sets, buckets, full, nodes, first, placed, part, open_, apart, joined, links, likely, held):
