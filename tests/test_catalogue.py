@@ -47,5 +47,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_closures_take_every_customer(spark, duck):
+    by = {}
+    for o, c, status in duck.execute("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders").fetchall():
+        by.setdefault(c, []).append((o, status))
+    plus = {(a, b): s for orders in by.values() for a, s in orders for b, _ in orders if a < b}
+    ends = {x for pair in plus for x in pair}
+    want = {"X6_plus_all": set(plus), "X6_plus_start_all": {p for p, s in plus.items() if s == "F"}, "X7_star_all": set(plus) | {(x, x) for x in ends}}
+    for name, pairs in want.items():
+        got = [(r["a"], r["b"]) for r in QUERIES[name](spark, FOLDER).collect()]
+        assert len(got) == len(pairs) and set(got) == pairs
+    assert QUERIES["J6_cartesian_all"](spark, FOLDER).count() == 5 * 25
+
+
 def test_headline(spark):
     assert headline(spark, FOLDER).count() > 0

@@ -348,6 +348,11 @@ def _(t):
     return joins.join(t["region"].star("r", r_name="region"), t["nation"].star("n", n_name="nation").where("n < 3")).select("region", "nation")
 
 
+@_query("J6_cartesian_all", "SELECT r_name AS region, n_name AS nation FROM region, nation")
+def _(t):
+    return joins.join(t["region"].star("r", r_name="region"), t["nation"].star("n", n_name="nation")).select("region", "nation")
+
+
 @_query("J7_minus", "SELECT o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
     return joins.minus(t["orders"].star("o"), t["lineitem"].star(None, l_order="o").select("o"))
@@ -463,6 +468,36 @@ def _(t):
     return paths.zero_or_more(edges, some)
 
 
+def _chain_all(t) -> DataFrame:
+    """As ``_chain``, of every customer, with the order's status."""
+    from pyspark.sql import Window
+
+    rows = t["orders"].star("a", o_customer="c", o_orderstatus="s")
+    return rows.withColumn("b", F.lead("a").over(Window.partitionBy("c").orderBy("a"))).where("b IS NOT NULL").select("a", "b", "s")
+
+
+#: The chain of a customer closes to all pairs of its orders, lower key first, so the SQL needs no recursion.
+_LATER = "SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey"
+
+
+@_query("X6_plus_all", _LATER)
+def _(t):
+    return paths.one_or_more(_chain_all(t).select("a", "b"))
+
+
+@_query("X6_plus_start_all", f"{_LATER} WHERE x.o_orderstatus = 'F'")
+def _(t):
+    edges = _chain_all(t)
+    return paths.one_or_more(edges.select("a", "b"), start=edges.where("s = 'F'").select("a"))
+
+
+@_query("X7_star_all", f"WITH c AS ({_LATER}) SELECT a, b FROM c UNION SELECT a, a FROM c UNION SELECT b, b FROM c")
+def _(t):
+    edges = _chain_all(t).select("a", "b")
+    some = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
+    return paths.zero_or_more(edges, some)
+
+
 @_query("X8_nps", "SELECT c_custkey AS a, c_name AS b FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer")
 def _(t):
     q = t["customer"].quads(only=("c_name", "c_mktsegment", "c_nation"))
