@@ -220,3 +220,16 @@ def test_star_reads_only_its_columns(spark):
     rows_ = mapped_tables(spark, "/root/testdata/sf0.001")["lineitem"].star(None, l_returnflag="f", l_quantity="q").where("q > 10").select("f")
     plan = explain(rows_)
     assert "GreaterThan(l_quantity,10.0)" in plan and "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_placed(spark):
+    rows = [(k * 7919 % 4001, None if k % 50 == 0 else k % 90) for k in range(4000)]
+    df = spark.createDataFrame(rows, "x long, y long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions have rows
+    try:
+        got = sorted(tuple(r) for r in solutions.placed(df, (F.col("y"), False), (F.col("x"), True)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == [(k + 1, *r) for k, r in enumerate(want)]
+    assert solutions.placed(df.limit(0), (F.col("x"), True)).count() == 0

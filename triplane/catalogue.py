@@ -625,6 +625,23 @@ def _(t):
     return solutions.cut(solutions.order(rows, (F.round("t", 2), False), (F.col("c"), True)), 20)
 
 
+@_query("O1_order_desc_all", "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos, c_custkey AS c FROM customer")
+def _(t):
+    return solutions.placed(t["customer"].star("c", c_acctbal="b"), (F.col("b"), False), (F.col("c"), True)).select("pos", "c")
+
+
+@_query("O1_order_terms_all", "SELECT row_number() OVER (ORDER BY k, n, v) AS pos, v FROM (SELECT c_name AS v, 1 AS k, 0 AS n FROM customer UNION ALL SELECT n_nationkey::VARCHAR, 0, n_nationkey FROM nation)")
+def _(t):
+    rows = t["customer"].star("c", c_name="v").select(literal(F.col("v")).alias("v")).unionByName(t["nation"].star("n").select(integer(F.col("n")).alias("v")))
+    return solutions.placed(rows, (F.col("v"), True)).select("pos", F.col("v.lex").alias("v"))
+
+
+@_query("O2_order_aggregate_all", "SELECT row_number() OVER (ORDER BY round(t, 2) DESC, c) AS pos, c, t FROM (SELECT o_custkey AS c, sum(o_totalprice) AS t FROM orders GROUP BY ALL)")
+def _(t):
+    rows = agg.group(t["orders"].star("o", o_customer="c", o_totalprice="p"), ["c"], t=F.sum("p"))
+    return solutions.placed(rows, (F.round("t", 2), False), (F.col("c"), True))
+
+
 @_query("O3_limit_offset", "SELECT p_partkey AS p, p_retailprice AS r FROM part ORDER BY r DESC, p LIMIT 25 OFFSET 10")
 def _(t):
     return solutions.cut(solutions.order(t["part"].star("p", p_retailprice="r"), (F.col("r"), False), (F.col("p"), True)), 25, 10)
@@ -641,6 +658,11 @@ def _(t):
     return solutions.cut(solutions.order(solutions.distinct(t["part"].star("p", p_brand="b").select("b")), (F.col("b"), False)), 5)
 
 
+@_query("O5_distinct_ordered_all", "SELECT row_number() OVER (ORDER BY b DESC) AS pos, b FROM (SELECT DISTINCT p_brand AS b FROM part)")
+def _(t):
+    return solutions.placed(solutions.distinct(t["part"].star("p", p_brand="b").select("b")), (F.col("b"), False))
+
+
 @_query("T1_union", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
 def _(t):
     return solutions.union(t["customer"].star("c", c_name="name").select("name"), t["supplier"].star("s", s_name="name").select("name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplane.terms import TERM, ebv, lift, order_keys
+from triplane.written import written
 
 
 def project(df: DataFrame, *names: str) -> DataFrame:
@@ -69,6 +70,25 @@ def order(df: DataFrame, *keys: tuple[Column, bool]) -> DataFrame:
     return df.orderBy(*by)
 
 
+def placed(df: DataFrame, *keys: tuple[Column, bool], name: str = "pos") -> DataFrame:
+    """Every row with its place in the order of ``keys`` (see :func:`order`), from 1; keys that tie are in any order.
+
+    Rows are range-partitioned and sorted once, and written so with their number in the partition; what reaches the
+    driver is a count for each partition. No task holds the table.
+    """
+    id_ = F.col("`.id`")
+    rows = written(order(df, *keys).withColumn(".id", F.monotonically_increasing_id()), "ordered")
+    before, starts = 0, []
+    # the upper bits of the number are the partition, the lower 33 the row in it
+    for part, n in sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(id_, 33).alias("part")).count().collect()):
+        starts.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "`.part` long, `.before` long")
+    place = F.col("`.before`") + id_.bitwiseAND((1 << 33) - 1) + 1
+    rows = rows.join(F.broadcast(offsets), F.shiftright(id_, 33) == F.col("`.part`"))
+    return rows.select(place.alias(name), *(F.col(f"`{c}`") for c in df.columns))
+
+
 def cut(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """LIMIT and OFFSET; after order() this is a top-k, which Spark plans as such."""
     if offset:
