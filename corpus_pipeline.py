@@ -33,10 +33,19 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, and one row of each doc_id; rows without a doc_id all stay."""
-    kept = dedup.near_duplicates(docs, LEAST_SIMILARITY).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each group of near-duplicates: the least doc_id, a null one last, then the least row key.
+
+    A row's key is the hash of its columns, so different rows of one doc_id, or of none, are documents of their own,
+    and equal rows are one.
+    """
+    parts = [f(F.col(f"`{c}`")) for c in docs.columns for f in (F.isnull, lambda x: x)]
+    keyed = docs.withColumn("_row_key", F.xxhash64(*parts))
+    found = dedup.near_duplicates(keyed, LEAST_SIMILARITY, id_col="_row_key")
+    groups = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
+    ids = groups.join(keyed.select("_row_key", "doc_id").distinct(), "_row_key")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row_key"))
+    kept = ids.groupBy("component_id").agg(first.alias("first")).select("first._row_key")
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,6 +484,47 @@ def test_pipeline_drops_copies_of_80_percent(spark):
     assert dedup.banding(85) == (28, 6, 0.72) and dedup.banding(80)[:2] == (34, 5)
 
 
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as c
+    from triplane.llm import langid, quality
+    from triplane.llm.common import held_out
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plain = lambda df: [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+
+    gam = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet").where(~held_out()))
+    good = c.materialise(c.keep_quality(spark, docs, FOLDER), "good")
+    assert Counter(plain(good)) == Counter(r for r in plain(docs) if gam.score(np.array([quality.features(r[1])]))[0] >= 0.5)
+
+    codes = langid.fit(good.where(~held_out()))
+    told = c.materialise(c.keep_language(spark, good, FOLDER), "told")
+    clear = lambda t: any(x.isalpha() for x in t or "") and codes.decode(codes.margins(t))[2] >= 0.2
+    assert Counter(plain(told)) == Counter(r for r in plain(good) if clear(r[1]))
+
+    rng = random.Random(11)
+    one, two, three = (text(rng, 60) for _ in range(3))
+    more = [(900_001, one), (900_001, two), (900_001, two), (900_002, None), (None, three), (None, three), (None, three + " more"), (None, two), (None, None)]
+    more = spark.createDataFrame([(i, t, "en", "test", 0) for i, t in more], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    every = c.materialise(told.select(more.columns).unionByName(more), "every")
+    rows = list(dict.fromkeys(plain(every)))
+    words = [(r[1] or "").encode().lower().split() for r in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[a] if x == root[b] else x for x in root]
+    groups = defaultdict(list)
+    for r, x in zip(rows, root):
+        groups[x].append(r)
+    got = plain(c.keep_one_of_copies(spark, every, FOLDER))
+    assert len(got) == len(groups) and Counter(r[0] for r in got)[900_001] == 2
+    for group in groups.values():
+        stayed = [r for r in got if r in group]
+        assert len(stayed) == 1 and stayed[0][0] == min((r[0] for r in group), key=lambda i: (i is None, i or 0))
+    assert sorted(map(repr, plain(c.keep_one_of_copies(spark, every.orderBy(F.rand(5)).repartition(3), FOLDER)))) == sorted(map(repr, got))
+
+
 def test_pipeline_of_odd_rows(spark, odd):
     import corpus_pipeline as c
 
