@@ -173,6 +173,14 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, F.length("text")).count() == 0
 
 
+def test_packing_spreads_a_repeated_id(spark):
+    from triplane.llm import packing
+
+    got = packing.pack(spark.range(3000).selectExpr("5L AS doc_id", "700L AS n"), F.col("n"), group_rows=100).collect()
+    groups = Counter(r["bin_id"] >> 32 for r in got)
+    assert len(got) == 3000 and len(groups) > 20 and max(groups.values()) < 200
+
+
 def test_packing_is_best_fit():
     from triplane.llm.packing import pack_lengths
 

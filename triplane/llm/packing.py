@@ -59,7 +59,7 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tu
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
     groups = max(1, -(-rows.count() // group_rows))
     # rows of one id (null, or repeated) differ in nothing but their place in the input, so that is part of the hash
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(groups)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
