@@ -23,4 +23,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read back: later steps start from the files, also after an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._triplane_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`written` that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_triplane_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
