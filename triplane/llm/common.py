@@ -1,42 +1,57 @@
-"""Helpers shared by the training-data operators: written intermediate tables, and components of a graph."""
+"""Helpers shared by the training-data operators: column names, batches by bytes, components of a graph, samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: ``spark.checkpoint.dir``, or a temporary one in local runs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="triplane-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._triplane_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialise` that nothing reads any more."""
-    path = getattr(df, "_triplane_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from pyspark.sql import types as T
+
+from triplane.written import discard, shared_dir
+from triplane.written import written as materialise
+
+__all__ = ["connected_components", "discard", "handed", "held_out", "kept_columns", "least_hashed", "materialise", "parts", "shared_dir"]
+
+
+def kept_columns(keep: Iterable[str], results: Iterable[str]) -> list[Column]:
+    """Columns that an operator hands through. One that is called as a result gets ``_kept`` behind its name, until it is free."""
+    taken, out = {r.lower() for r in results}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name += "_kept"
+        taken.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return out
+
+
+def handed(docs: DataFrame, id_col: str, text_col: str, keep: Iterable[str], results: tuple[str, ...]) -> tuple[DataFrame, int, list[T.StructField]]:
+    """What an operator's Python side takes: the id, called as the first of ``results``, the kept columns and the text;
+    the place of the text, which moves but once, and the fields of the kept columns, which come right after the id."""
+    kept = [c for c in keep if c != id_col]
+    columns = [F.col(f"`{id_col}`").alias(results[0]), *kept_columns(kept, results)]
+    at = len(columns)
+    if text_col in kept and isinstance(docs.schema[text_col].dataType, T.StringType):
+        at = 1 + kept.index(text_col)
+    else:
+        columns.append(F.col(f"`{text_col}`").cast("string").alias(results[-1]))
+    taken = docs.select(columns)
+    return taken, at, taken.schema.fields[1 : 1 + len(kept)]
+
+
+def parts(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and about ``size`` bytes in ``column``, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,7 +59,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes. Every step is a partial minimum by node and an
     equi-join, so a hub's rows are pre-aggregated before they move and AQE may split its join partition. No component
-    is held by one task or the driver.
+    is held by one task or the driver. The result is a written table; the caller may ``discard`` it.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     while True:
@@ -57,12 +72,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, "components")
         same = after.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(after, ["u", "v"], "left_anti").isEmpty()
-        discard(least)
-        discard(now)
+        discard(least, now)
         now = after
         if same:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    whole = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(now)
+    return whole
 
 
 def held_out(id_col: str = "doc_id"):

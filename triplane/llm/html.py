@@ -12,6 +12,7 @@ text is known to be part of the article or not. Their number is a parameter, so
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -22,16 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from triplane.llm.common import handed, parts
 
 #: Element names as HTML defines them.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td "
+    "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option optgroup p pre search section select summary table tbody td "
     "textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video noframes noembed xmp title head".split())
-CLOSES_P = BLOCKS - frozenset("body html button option optgroup select textarea td th tr tbody thead tfoot caption col colgroup legend".split())
+#: What these hold is no text of the page.
+SKIPPED = frozenset("script style template iframe noframes noembed title head".split())
+CLOSES_P = BLOCKS - frozenset("body html button caption col colgroup legend noscript option optgroup select tbody td textarea tfoot th thead tr".split())
+HOLDS_P = ("table", "td", "th", "button")
 #: An opening tag ends an open element of these names, up to the nearest element that holds such things.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -56,42 +62,59 @@ WORDS = (
     "comment|comments|reply|replies|respond|discussion|disqus|reader|readers|responses|thread|kommentare|reactions|feedback",
     "share|sharing|social|follow|facebook|twitter|login|search|form|contact|tags|rating|vote|meta|byline|author",
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""")
+_END = {t: re.compile(f"</{t}", re.I | re.A) for t in (*SKIPPED, "xmp")}
+_HEAD_END, _HEAD_SKIPS = re.compile("</head|<body", re.I | re.A), re.compile("<script|<style", re.I | re.A)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _KINDS = [frozenset(w.split("|")) for w in WORDS]
 _TAG = {t: i for i, tags in enumerate(TAGS) for t in tags}
-_MAIN, _COMMENT = {_TAG["article"], _TAG["main"]}, next(i for i, k in enumerate(_KINDS) if "comment" in k)
+_MAIN = {_TAG["article"], _TAG["main"]}
+_COMMENT, _NOTICE = (next(i for i, k in enumerate(_KINDS) if w in k) for w in ("comment", "notice"))
+#: Pages with blocks nested deeper than this are solved block by block, not level by level.
+DEEP = 400
 N_FEATURES = 1 + len(TAGS) + len(WORDS) + 10
 
 
 @dataclass
 class Page:
-    """Blocks in page order of opening: parent, tag, kinds of names, own text pieces; and the text runs in page order."""
+    """Blocks in page order of opening: parent, tag, kinds of names, depth, and the block after the last one inside; and
+    the text runs in page order."""
 
     parent: list[int] = field(default_factory=list)
     tag: list[int] = field(default_factory=list)
     kinds: list[tuple[int, ...]] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
+    end: list[int] = field(default_factory=list)
     runs: list[tuple[int, str, int]] = field(default_factory=list)  # block, text, characters inside links
 
 
-@lru_cache(maxsize=4096)
 def _kinds_of(names: str) -> tuple[int, ...]:
+    return _known_kinds(names) if len(names) < 500 else _known_kinds.__wrapped__(names)
+
+
+@lru_cache(maxsize=4096)
+def _known_kinds(names: str) -> tuple[int, ...]:
     words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
     return tuple(i for i, k in enumerate(_KINDS) if words & k)
 
 
 def parse(source: str | None) -> Page:
-    """A lenient parse: unclosed and stray tags, comments, raw elements and unfinished pages give a tree all the same."""
-    page = Page([-1], [_TAG["body"]], [()], [0])
+    """A lenient parse: unclosed and stray tags, comments, raw elements and unfinished pages give a tree all the same.
+
+    One pass: the places of open elements are kept by name, and a mark that the rest of the page does not hold is not
+    looked for again.
+    """
+    page = Page([-1], [_TAG["body"]], [()], [0], [0])
     names, blocks = ["html"], [0]  # open block elements
+    places: dict[str, list[int]] = {}  # of each name among them
+    missing: set[str] = set()  # marks that the rest of the page does not hold
     links = 0
     piece: list[str] = []
     linked = 0
     text = source or ""
-    low = None
+    head_seen = False
 
     def flush() -> None:
         nonlocal linked
@@ -102,20 +125,30 @@ def parse(source: str | None) -> Page:
             piece.clear()
         linked = 0
 
+    def innermost(some) -> int:
+        return max((places[t][-1] for t in some if places.get(t)), default=-1)
+
     def pop_to(k: int) -> None:
         nonlocal links
         flush()
+        for name, b in zip(names[k:], blocks[k:]):
+            places[name].pop()
+            page.end[b] = len(page.parent)
         del names[k:], blocks[k:]
         links = 0
 
-    def close(ends: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in stop:
-                return
-            if names[k] in ends:
-                pop_to(k)
-                if len(ends) < 2:
-                    return
+    def find(mark: str, at: int) -> int:
+        place = -1 if mark in missing else text.find(mark, at)
+        if place < 0:
+            missing.add(mark)
+        return place
+
+    def find_end(tag: str, at: int) -> int:
+        m = None if tag in missing else _END[tag].search(text, at)
+        if m is None:
+            missing.add(tag)
+            return -1
+        return m.start()
 
     at = 0
     while True:
@@ -130,20 +163,26 @@ def parse(source: str | None) -> Page:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                piece.append(html.escape(m[0][9:-3], quote=False))
+            mark = m[0]
+            if mark == "<!--":
+                end = find("-->", at)
+                at = end + 3 if end >= 0 else len(text)
+                continue
+            if mark == "<![CDATA[" and (end := find("]]>", at)) >= 0:
+                piece.append(html.escape(text[at:end], quote=False))
+                at = end + 3
+            elif (end := find(">", at)) >= 0:
+                at = end + 1
+            else:
+                piece.append(mark)
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "p" and "p" not in names:
-                flush()
             elif tag in BLOCKS:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == tag:
-                        pop_to(k)
-                        break
+                if places.get(tag):
+                    pop_to(places[tag][-1])
                 else:
                     flush()
             elif tag == "br":
@@ -154,52 +193,72 @@ def parse(source: str | None) -> Page:
                 piece.append(" ")
             continue
         attrs = m[3]
-        if tag in RAW and not attrs.endswith("/"):
-            low = low or text.lower()
-            end = at
-            if tag == "head":  # ends at its end tag or where the body begins
-                ends = [e for e in (low.find("</head", at), low.find("<body", at)) if e >= 0]
-                if not ends:
+        if tag in SKIPPED and not attrs.endswith("/"):
+            if tag == "head":  # ends at its end tag or where the body begins; there is but one
+                if head_seen:
                     continue
-                end = min(ends)
-                script = max(low.rfind("<script", at, end), low.rfind("<style", at, end))
-                if script >= 0 and low.find("</", script, end) < 0:
-                    end = at
-            else:
-                end = low.find(f"</{tag}", at)
-                if end < 0:
-                    if tag in ("script", "style", "title"):
-                        at = len(text)
+                head_seen = True
+                ends = _HEAD_END.search(text, at)
+                if not ends:
                     continue
+                end, script = ends.start(), -1
+                for skip in _HEAD_SKIPS.finditer(text, at, end):
+                    script = skip.start()
+                if script < 0 or text.find("</", script, end) >= 0:
+                    at = end
+                continue
+            end = find_end(tag, at)
+            if end < 0:
+                if tag in ("script", "style", "title"):
+                    at = len(text)
+                continue
             at = end
             piece.append(" " if tag in ("script", "style") else "")
             continue
+        if tag == "xmp":  # text as it stands, without markup
+            flush()
+            if (end := find_end(tag, at)) >= 0:
+                piece.append(html.escape(text[at:end], quote=False))
+                flush()
+                at = end
+            continue
         if tag in BLOCKS:
             flush()
             if tag in ("html", "body"):
                 continue
-            if tag in CLOSES_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not {"table", "td", "th", "button"} & set(names[k:]):
+            if tag in CLOSES_P and places.get("p"):
+                k = places["p"][-1]
+                if k > innermost(HOLDS_P):
                     pop_to(k)
             if tag in ENDS:
-                close(*ENDS[tag])
+                ends, stops = ENDS[tag]
+                stop = innermost(stops)
+                while (k := innermost(ends)) > stop:
+                    pop_to(k)
+                    if len(ends) < 2:
+                        break
             if tag in VOID:
                 continue
             found = _NAMES.findall(attrs) if attrs else ()
             kinds = _kinds_of(" ".join(a or b or c for a, b, c in found)) if found else ()
+            if tag == "noscript" and _NOTICE not in kinds:
+                kinds = (*kinds, _NOTICE)
             if attrs and _HIDDEN.search(attrs):
                 kinds = (*kinds, -1)
             page.parent.append(blocks[-1])
             page.depth.append(page.depth[blocks[-1]] + 1)
             page.tag.append(_TAG.get(tag, -1))
             page.kinds.append(kinds)
+            page.end.append(0)
+            places.setdefault(tag, []).append(len(names))
             names.append(tag)
             blocks.append(len(page.parent) - 1)
             links = 0
         elif tag == "a":
             links += 1
     flush()
+    for b in blocks:
+        page.end[b] = len(page.parent)
     return page
 
 
@@ -223,11 +282,9 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             linked[b + i] += link
             stops[b + i] += text.count(".") + text.count(",")
             runs[b + i] += 1
-    whole, whole_linked, items = own.copy(), linked.copy(), runs.copy()
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        for a in (whole, whole_linked, items):
-            np.add.at(a, parent[at], a[at])
+    ends = np.concatenate([np.array(p.end) + b for p, b in zip(pages, base)])
+    sums = (np.concatenate([[0], np.cumsum(a)]) for a in (own, linked, runs))
+    whole, whole_linked, items = (total[ends] - total[:-1] for total in sums)  # a block and all inside it stand together
     f = 1 + len(TAGS) + len(WORDS)
     x[:, f] = np.log1p(own) / 6
     x[:, f + 1] = np.log1p(whole) / 8
@@ -261,6 +318,10 @@ def _between(parent_x: np.ndarray, child_x: np.ndarray) -> np.ndarray:
     return np.where(child_x[:, tags].any(1) | child_x[:, roles].any(1), 0, np.where(child_x[:, [7, 8, 9, 10, 18]].any(1), 1, 2))
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # features: log potential of being content
@@ -274,7 +335,8 @@ class Model:
         kind = np.zeros(n, np.int64)
         kind[kids] = _between(x[parent[kids]], x[kids])
         psi = self.edges[kind]
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
         up, inward = np.zeros((n, 2)), local.copy()
         for at in levels[:0:-1]:
             up[at] = np.logaddexp(psi[at][:, :, 0] + inward[at][:, None, 0], psi[at][:, :, 1] + inward[at][:, None, 1])
@@ -292,6 +354,24 @@ class Model:
         p = 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
         return p, joint, kind
 
+    def marginals_of_one(self, x: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """The same marginals of being content for one tree, block by block, however deep it is."""
+        local, above = (x @ self.weights).tolist(), parent.tolist()
+        psi = self.edges[np.concatenate([[0], _between(x[parent[1:]], x[1:])])].tolist()
+        n = len(local)
+        in0, in1, up0, up1 = [0.0] * n, local[:], [0.0] * n, [0.0] * n
+        for i in range(n - 1, 0, -1):  # what is inside a block stands behind it
+            (a, b), (c, d) = psi[i]
+            up0[i], up1[i] = _log_sum(a + in0[i], b + in1[i]), _log_sum(c + in0[i], d + in1[i])
+            in0[above[i]] += up0[i]
+            in1[above[i]] += up1[i]
+        for i in range(1, n):  # from here, in0 and in1 hold beliefs
+            (a, b), (c, d) = psi[i]
+            rest0, rest1 = in0[above[i]] - up0[i], in1[above[i]] - up1[i]
+            in0[i] += _log_sum(a + rest0, c + rest1)
+            in1[i] += _log_sum(b + rest0, d + rest1)
+        return 1 / (1 + np.exp(np.array(in0) - np.array(in1)))
+
 
 def fit(pages: list[Page], labels: list[list[bool]], rounds: int = 200, rate: float = 0.2, ridge: float = 1e-4) -> Model:
     """Maximum likelihood with a small ridge, by Adam steps."""
@@ -442,35 +522,36 @@ def trained(n_pages: int = 500, seed: int = 0) -> Model:
 def main_texts(sources: list[str | None], model: Model) -> list[str]:
     """Main text of each page: its content blocks in page order, joined by an empty line."""
     pages = [parse(s) for s in sources]
-    if not pages:
-        return []
-    x, parent, depth = _features(pages)
-    p = model.marginals(x, parent, depth)[0]
-    out, base = [], 0
-    for page in pages:
-        out.append("\n\n".join(text for b, text, _ in page.runs if p[base + b] >= 0.5))
-        base += len(page.parent)
-    return out
+    content: list[np.ndarray] = [np.empty(0)] * len(pages)
+    flat = [i for i, p in enumerate(pages) if max(p.depth) <= DEEP]
+    if flat:
+        found = model.marginals(*_features([pages[i] for i in flat]))[0]
+        for i, p in zip(flat, np.split(found, np.cumsum([len(pages[i].parent) for i in flat])[:-1])):
+            content[i] = p
+    for i in set(range(len(pages))) - set(flat):
+        x, parent, _ = _features([pages[i]])
+        content[i] = model.marginals_of_one(x, parent)
+    return ["\n\n".join(text for b, text, _ in page.runs if p[b] >= 0.5) for page, p in zip(pages, content)]
 
 
 def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """``page_id, text`` for every row, and the columns of ``keep`` as they are.
 
     Null and empty pages, and those without main text: an empty text. White space, that of character references too,
-    becomes one space within a block. Whole pages, however long. Null or repeated page_id: every row stays. Empty
-    table: no rows. Other columns are not read.
+    becomes one space within a block. Whole pages, however long, nested or unfinished, in time linear in their length;
+    ties do not arise. Null or repeated page_id: every row stays. Empty table: no rows. Other columns are not read. A
+    kept column called ``page_id`` or ``text`` comes out as ``page_id_kept`` or ``text_kept``, in any case of letters.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
-    taken = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_html"), *[c for c in keep if c not in (id_col, html_col)])
-    kept = [f for f in taken.schema if f.name != "_html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string"
+    taken, at, kept = handed(pages, id_col, html_col, keep, ("page_id", "text"))
+    schema = T.StructType([taken.schema[0], T.StructField("text", T.StringType()), *kept])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = main_texts(part.column(1).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(texts, pa.string())], names=[*(f.name for f in kept), "text"])
+            for part in parts(batch, at, 256):
+                texts = pa.array(main_texts(part.column(at).to_pylist(), shared.value), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[1 : 1 + len(kept)]], names=names)
 
     return taken.mapInArrow(run, schema)
 
