@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is the sum of one full-dimensional codeword from each codebook. The codebooks are learnt on a bounded sample:
-k-means on the residuals of those before, then all codewords together by least squares. Beam search finds a vector's
-codes, and the squared norm of their sum is stored beside them. A query's inner products with all codewords are a
-table, so the score of a candidate is a sum of table entries (and its stored norm, if distance is asked for). The best
-of each block by that score are scored exactly on the original vectors.
+A vector is its length times a direction, and the direction is about the sum of one full-dimensional codeword from
+each codebook. The codebooks are learnt on a bounded sample: k-means on the residuals of those before, then all
+codewords together by least squares. Beam search finds a vector's codes; stored beside them is its norm, as the factor
+that gives the codewords' sum the vector's own length, so vectors of any finite length are coded alike. A query's
+inner products with all codewords are a table, and a candidate's score is the sum of its table entries times its norm.
+
+Only codes and norms are compared with the queries. The best of them for each query, over all candidates, are then
+joined to the original vectors and scored exactly.
 """
 
 from __future__ import annotations
@@ -16,9 +19,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triplane.llm.common import least_hashed, materialise
-from triplane.llm.topk import usable
+from triplane.llm.topk import GROUP_ROWS, QUERY_ROWS, stacked, usable
+
+BOOKS, CODEWORDS, BEAM, SHORTLIST = 32, 128, 2, 96
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 and the lengths; no vector is zero. Nothing overflows on the way."""
+    peak = np.abs(x).max(1).astype(np.float64)
+    y = x.astype(np.float64) / peak[:, None]
+    size = np.sqrt((y**2).sum(1))
+    return (y / size[:, None]).astype(np.float32), peak * size
 
 
 @dataclass
@@ -27,12 +41,12 @@ class Codebooks:
 
     books: np.ndarray
 
-    def encode(self, x: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each vector by beam search over the codebooks, and the squared norm of their sum."""
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each vector by beam search over the codebooks, and its norm by that of the codewords' sum."""
         m, k, d = self.books.shape
-        codes_out, norms = np.empty((len(x), m), np.uint8), np.empty(len(x), np.float32)
+        codes_out, norms = np.empty((len(x), m), np.uint8), np.empty(len(x), np.float64)
         for start in range(0, len(x), 512):
-            part = x[start : start + 512].astype(np.float32)
+            part, size = directions(x[start : start + 512])
             n = len(part)
             rest, codes, cost = part[:, None, :], np.empty((n, 1, 0), np.uint8), np.zeros((n, 1), np.float32)
             for book in self.books:
@@ -45,18 +59,17 @@ class Codebooks:
                 codes = np.concatenate([np.take_along_axis(codes, of[:, :, None], axis=1), code[:, :, None].astype(np.uint8)], axis=2)
                 cost = np.take_along_axis(total, best, axis=1)
             i = cost.argmin(1)
-            chosen = codes[np.arange(n), i]
-            codes_out[start : start + n] = chosen
-            made = part - rest[np.arange(n), i]
-            norms[start : start + n] = (made**2).sum(1)
+            codes_out[start : start + n] = codes[np.arange(n), i]
+            made = np.sqrt(((part - rest[np.arange(n), i]).astype(np.float64) ** 2).sum(1))
+            norms[start : start + n] = size / np.where(made > 0.5, made, 1)
         return codes_out, norms
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
-        """Candidates x queries: table sums, or with ``norms`` twice that less the norm, which orders by distance."""
+    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Candidates x queries: table sums times the stored norms; ``queries`` are directions."""
         out = np.zeros((len(codes), len(queries)), np.float32)
         for j, book in enumerate(self.books):
             out += (book @ queries.T)[codes[:, j]]
-        return out if norms is None else 2 * out - norms[:, None]
+        return out * norms[:, None]
 
 
 def _sums(near: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -68,8 +81,8 @@ def _sums(near: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def train(sample: np.ndarray, m: int = 16, k: int = 128, rounds: int = 8, seed: int = 0) -> Codebooks:
-    """Codebooks from a sample of vectors; k at most 256, and no more codewords than vectors."""
+def train(sample: np.ndarray, m: int = BOOKS, k: int = CODEWORDS, rounds: int = 8, seed: int = 0) -> Codebooks:
+    """Codebooks from a sample of directions; k at most 256, and no more codewords than vectors."""
     rng, x = np.random.default_rng(seed), sample.astype(np.float32)
     k = min(k, len(x))
     rest, books, codes = x.copy(), [], []
@@ -85,92 +98,120 @@ def train(sample: np.ndarray, m: int = 16, k: int = 128, rounds: int = 8, seed:
         books.append(book)
         codes.append(near)
     # all codewords anew, by least squares given the codes: counts of codes that meet, and sums of what is left over
-    gram = np.block([[np.bincount(a * k + b, minlength=k * k).reshape(k, k).astype(np.float64) for b in codes] for a in codes])
+    gram = np.empty((m * k, m * k))
+    for i, a in enumerate(codes):
+        for j, b in enumerate(codes):
+            gram[i * k : (i + 1) * k, j * k : (j + 1) * k] = np.bincount(a * k + b, minlength=k * k).reshape(k, k)
+    gram.flat[:: m * k + 1] += 0.5
     left = np.concatenate([_sums(near, rest, k) for near in codes])
-    start = np.concatenate(books)
-    joint = start + np.linalg.solve(gram + 0.5 * np.eye(m * k), left).astype(np.float32)
+    joint = np.concatenate(books) + np.linalg.solve(gram, left).astype(np.float32)
     return Codebooks(joint.reshape(m, k, -1))
 
 
 def index(vectors: DataFrame, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, Codebooks]]:
-    """Every usable vector as ``vec_id, v, codes, norm``, and the codebooks by vector length.
+    """Every usable vector as ``row, vec_id, v, codes, norm``, as a written table, and the codebooks by vector length.
 
     Codebooks are learnt from the ``sample_rows`` vectors of least hash of the id. A length that the sample does not
-    hold has no codes, and its vectors are scored exactly. Null, zero and non-finite vectors and null ids are left out.
+    hold has no codes, and its vectors are scored exactly. Null, zero and non-finite vectors and null ids are left
+    out. Repeated rows each have a place. Empty table: no rows. Other columns are not read, whatever they are called.
     """
-    good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0))
-    rows = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sample = least_hashed(rows, "vec_id", sample_rows).toPandas()
+    good = vectors.where(F.col(f"`{id_col}`").isNotNull() & usable(F.col(f"`{vector_col}`")) & F.exists(f"`{vector_col}`", lambda x: x != 0))
+    rows = good.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v"))
+    sample = least_hashed(rows.select("vec_id", "v"), "vec_id", sample_rows).toPandas()
     books = {}
     for dim in sorted(set(sample["v"].map(len))):
-        books[int(dim)] = train(np.stack(sample["v"][sample["v"].map(len) == dim].tolist()))
+        books[int(dim)] = train(directions(stacked(sample["v"][sample["v"].map(len) == dim]))[0])
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            codes, norms = [None] * len(pdf), np.zeros(len(pdf), np.float32)
+            codes, norms = [None] * len(pdf), np.zeros(len(pdf))
             dims = pdf["v"].map(len)
             for dim in set(dims) & set(shared.value):
                 at = np.flatnonzero(dims == dim)
-                c, norms[at] = shared.value[dim].encode(np.stack(pdf["v"].iloc[at].tolist()))
+                c, norms[at] = shared.value[dim].encode(stacked(pdf["v"].iloc[at]))
                 for i, row in zip(at, c):
                     codes[i] = row.tobytes()
             yield pdf.assign(codes=codes, norm=norms)
 
-    return rows.mapInPandas(run, "vec_id long, v array<double>, codes binary, norm float"), books
-
-
-def _block(cand: pd.DataFrame, asked: pd.DataFrame, books: Codebooks | None, k: int, shortlist: int, batch: int = 256) -> pd.DataFrame:
-    """The k best of one block of candidates for each query, its own row left out."""
-    cand = cand.sort_values("vec_id", kind="stable")
-    ids, x = cand["vec_id"].to_numpy(), np.stack(cand["v"].tolist())
-    q_ids, q = asked["vec_id"].to_numpy(), np.stack(asked["v"].tolist())
-    codes = np.frombuffer(b"".join(cand["codes"]), np.uint8).reshape(len(x), -1) if books else None
-    out = []
-    take = min(len(x), shortlist + 1)  # the query itself may be among them
-    for start in range(0, len(q), batch):
-        part = q[start : start + batch]
-        rough = np.ascontiguousarray((books.scores(part.astype(np.float32), codes) if books else (x @ part.T).astype(np.float32)).T)
-        bars = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
-        for i in range(len(part)):
-            few = np.flatnonzero(rough[i] >= bars[i])
-            if len(few) > take:  # many alike at the bar: the smaller ids of them
-                above = rough[i][few] > bars[i]
-                few = np.concatenate([few[above], few[~above][: take - int(above.sum())]])
-            few = few[ids[few] != q_ids[start + i]]
-            score = (x[few] * part[i]).sum(1)
-            best = np.lexsort((ids[few], -score))[:k]
-            out.append((np.full(len(best), q_ids[start + i]), ids[few][best], score[best]))
-    a, b, c = (np.concatenate(z) for z in zip(*out))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-
-def nearest(indexed: DataFrame, books: dict[int, Codebooks], is_query: Column, k: int = 20, shortlist: int = 64, group_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
+    coded = T.StructType([*rows.schema.fields, T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType())])
+    return materialise(rows.mapInPandas(run, coded), "codes"), books
+
+
+def _top(score: np.ndarray, take: int) -> np.ndarray:
+    """Places of the ``take`` highest scores in each row, or of all."""
+    if score.shape[1] <= take:
+        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    return np.argpartition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take :]
+
+
+def _shortlists(cand: pd.DataFrame, asked: pd.DataFrame, books: Codebooks | None, take: int, batch: int = 256, chunk: int = 8192) -> pd.DataFrame:
+    """For each query the ``take`` candidates of a group that score best by their codes, its own rows left out."""
+    ids, rows, q_ids = cand["vec_id"].to_numpy(), cand["row"].to_numpy(), asked["vec_id"].to_numpy()
+    queries, _ = directions(stacked(asked["v"]))
+    if books:
+        codes, norms = np.frombuffer(b"".join(cand["codes"]), np.uint8).reshape(len(ids), -1), cand["norm"].to_numpy()
+    else:
+        plain, norms = directions(stacked(cand["plain"]))
+    where, best = [], []
+    for start in range(0, len(queries), batch):
+        q, own = queries[start : start + batch], q_ids[start : start + batch, None]
+        places, scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
+        for at in range(0, len(ids), chunk):
+            of = slice(at, at + chunk)
+            rough = books.scores(q, codes[of], norms[of]).T if books else (q @ plain[of].T) * norms[of]
+            rough = np.where(ids[of] == own, -np.inf, rough)
+            some = _top(rough, take)
+            places, scores = np.concatenate([places, some + at], 1), np.concatenate([scores, np.take_along_axis(rough, some, 1)], 1)
+            some = _top(scores, take)
+            places, scores = np.take_along_axis(places, some, 1), np.take_along_axis(scores, some, 1)
+        where.append(places)
+        best.append(scores)
+    places, scores = np.concatenate(where), np.concatenate(best)
+    found = pd.DataFrame({
+        "query_id": np.repeat(q_ids, places.shape[1]), "own": np.repeat(asked["own"].to_numpy(), places.shape[1]),
+        "row": rows[places.ravel()], "rough": scores.ravel(),
+    })
+    return found[found["rough"] > -np.inf]
+
+
+def nearest(indexed: DataFrame, books: dict[int, Codebooks], is_query: Column, k: int = 20, shortlist: int = SHORTLIST, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` over a table from :func:`index`, by largest inner product.
 
     Queries and candidates are dealt into groups by hash and a task takes one group of each, so neither side is
-    broadcast; the codebooks, of fixed size, are. ``shortlist`` candidates of each group are scored exactly. Ties to
-    the smaller vec_id. Fewer candidates than k: all. Repeated rows each take a place, but those of the query's id do
-    not. Vectors of different lengths do not meet. Empty table: no rows.
+    broadcast; the codebooks, of fixed size, are. Of the candidates only ids, codes and norms move to the groups. The
+    ``shortlist`` best by their codes, over all groups, are scored exactly: joined by row to their vectors and by id to
+    the query's, where a row that very many queries want is split by adaptive execution. Ties to the smaller vec_id.
+    Fewer candidates than k: all. Repeated candidate rows each take a place, but those of the query's id do not. Query
+    rows of one id and vector are one query; of one id and different vectors, each has a ranking of its own. Vectors
+    of different lengths do not meet. Empty table: no rows. Scores are in double precision, infinite beyond it.
     """
     n, n_q = indexed.agg(F.count("*"), F.count_if(is_query)).first()
     groups, q_groups = max(1, -(-n // group_rows), min(48, -(-n // 512))), max(1, -(-n_q // query_rows))
     shared = indexed.sparkSession.sparkContext.broadcast(books)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dim = F.size("v").alias("dim")
-    cand = indexed.select(dim, F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("qg"), "vec_id", "v", "codes")
-    asked = indexed.where(is_query).select(dim, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_groups)).cast("int").alias("qg"), "vec_id", "v")
+    cand = indexed.select(dim, F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("g"), every(q_groups).alias("qg"), "row", "vec_id", "codes", "norm", F.when(F.col("codes").isNull(), F.col("v")).alias("plain"))
+    asked = indexed.where(is_query).select(dim, "vec_id", "v").dropDuplicates().withColumn("own", F.xxhash64("v"))
+    dealt = asked.select("dim", every(groups).alias("g"), F.pmod(F.xxhash64("vec_id", "own"), F.lit(q_groups)).cast("int").alias("qg"), "vec_id", "own", "v")
+    schema = "query_id long, own long, row long, rough double"
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        return _block(left, right, shared.value.get(len(left["v"].iloc[0])), k, shortlist)
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "own": np.empty(0, np.int64), "row": np.empty(0, np.int64), "rough": np.empty(0)})
+        return _shortlists(left, right, shared.value.get(len(right["v"].iloc[0])), shortlist)
 
     keys = ["dim", "g", "qg"]
-    found = cand.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score double")
-    rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rough = cand.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(pair, schema)
+    few = rough.withColumn("at", F.expr("row_number() OVER (PARTITION BY query_id, own ORDER BY rough DESC, row)")).where(F.col("at") <= shortlist)
+    with_vector = few.select("query_id", "own", "row").join(indexed.select("row", "vec_id", "v"), "row")
+    both = with_vector.join(asked.select(F.col("vec_id").alias("query_id"), "own", F.col("v").alias("q")), ["query_id", "own"])
+    product = F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double"))
+    scored = both.select("query_id", "own", "vec_id", F.aggregate(product, F.lit(0.0), lambda total, x: total + x).alias("score"))
+    rank = F.expr("row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id)")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     indexed, books = index(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-    return nearest(materialise(indexed, "codes"), books, F.col("vec_id") % 20 == 0)
+    return nearest(indexed, books, F.col("vec_id") % 20 == 0)
