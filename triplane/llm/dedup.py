@@ -13,15 +13,16 @@ of one shingle for all coordinates stand side by side in the second permutation.
    and their groups confirm pairs, most alike first, until no two components are left that a likely pair could join.
    A pair inside a component needs no test, as it cannot change the components.
 
-A pair is likely if its signatures agree in enough of their coordinates: at 85 percent 72 % of 168, in 28 bands of six;
-at 80 percent 110 of 170, in 34 bands of five. Over independent coordinates, five pairs in a million at a similarity of
-0.85 fail that test, one at 0.80, and two or fewer share no band.
+A pair is likely if its signatures agree in enough of their coordinates. Bands and that bar follow from the least
+similarity: over independent coordinates, a pair at just that similarity falls short of either once in ten million,
+and sooner the less similar it is. ``exact`` closes that gap: a last sweep finds all that MinHash missed by the rarest
+shingles of each set, of which two sets alike enough share one, and confirms it on the full sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,32 +31,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplane.llm.common import connected_components, discard, materialise
+from triplane.llm.common import connected_components, discard, materialise, parts
 
 WORDS = 5
-BANDS, ROWS = 28, 6
 PLACES = 1 << 20
-LIKELY = 0.72
 #: The chance allowed for a pair at the least similarity to share no band, and to fall short of the likely ones.
-MISS = 2e-6
-#: Pairs whose sizes alone put their similarity below this, in percent, are not compared.
-LEAST = 80
+MISS = 1e-7
+#: Most rows of a band, and most coordinates of a signature.
+ROWS, COORDINATES = 6, 216
 CHUNK = 256
+SALTS = 16
 
 
 @lru_cache
 def banding(percent: int) -> tuple[int, int, float]:
-    """(bands, rows, likely) for pairs of ``percent`` or more; from 85 up the constants above.
+    """(bands, rows, likely) for pairs of ``percent`` or more, 50 to 100.
 
-    Below, as many rows a band as leave the coordinates about as many, with the bands that ``MISS`` asks for; likely is
-    half a coordinate under the most agreements that a pair misses with that chance.
+    As many rows a band as leave the coordinates in bounds, with the bands that ``MISS`` asks for; likely is half a
+    coordinate under the most agreements that a pair misses with that chance.
     """
-    if percent >= 85:
-        return BANDS, ROWS, LIKELY
+    if not 50 <= percent <= 100:
+        raise ValueError(f"similarities from 50 to 100 percent, not {percent}")
+    if percent == 100:
+        return 1, ROWS, 1.0
     share = percent / 100
     for rows in range(ROWS, 0, -1):
         bands = math.ceil(math.log(MISS) / math.log1p(-(share**rows)))
-        if bands * rows <= BANDS * ROWS + ROWS:
+        if bands * rows <= COORDINATES:
             break
     n, least, under = bands * rows, 0, 0.0
     while (under := under + math.comb(n, least) * share**least * (1 - share) ** (n - least)) <= MISS:
@@ -103,7 +105,7 @@ def _circle(places: int, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return first, windows
 
 
-def signature(found: np.ndarray, coordinates: int = BANDS * ROWS, places: int = PLACES) -> np.ndarray:
+def signature(found: np.ndarray, coordinates: int, places: int = PLACES) -> np.ndarray:
     """All coordinates of the circulant MinHash of a set of shingles."""
     first, windows = _circle(places, coordinates)
     at = first[(found >> np.uint64(20)).astype(np.int64) % places]
@@ -113,7 +115,7 @@ def signature(found: np.ndarray, coordinates: int = BANDS * ROWS, places: int =
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for i in range(rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(bands, rows)[:, i])
@@ -123,8 +125,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 def _signed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for part in parts(batch, 1, 2048):
                 n, h1, h2, sigs, keys = [], [], [], [], []
                 for text in part.column(1):
                     found = shingles(text.as_py())
@@ -146,8 +147,7 @@ def _signed(bands: int, rows: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+        for part in parts(batch, 1, 512):
             found = [shingles(t.as_py()).view(np.int64) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
         pa.default_memory_pool().release_unused()
@@ -168,13 +168,13 @@ def _forest(alike: np.ndarray, likely: float) -> list[tuple[int, int]]:
     return out
 
 
-def _alike(n: np.ndarray, sig: np.ndarray, side: np.ndarray) -> np.ndarray:
+def _alike(n: np.ndarray, sig: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
     """Share of equal coordinates for each pair of a group; 0 where the sizes alone rule it out or the sides are one."""
     m = len(n)
     alike = np.empty((m, m), np.float32)
     for i in range(m):
         alike[i] = (sig == sig[i]).mean(1, dtype=np.float32)
-    alike[100 * np.minimum(n[:, None], n) < LEAST * np.maximum(n[:, None], n)] = 0
+    alike[100 * np.minimum(n[:, None], n) < percent * np.maximum(n[:, None], n)] = 0
     if side.any():
         alike[side[:, None] == side] = 0
     np.fill_diagonal(alike, 0)
@@ -216,7 +216,7 @@ def _bounds(group: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1, [len(group)]])
 
 
-def _forests(likely: float):
+def _forests(percent: int, likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups -> the pairs of a spanning forest of what is likely in each."""
         seen: set[tuple[int, int]] = set()
@@ -224,12 +224,12 @@ def _forests(likely: float):
             bounds = _bounds(group)
             start, size = bounds[:-1], np.diff(bounds)
             two = start[size == 2]
-            ok = ((sig[two] == sig[two + 1]).mean(1) >= likely) & (100 * np.minimum(n[two], n[two + 1]) >= LEAST * np.maximum(n[two], n[two + 1]))
+            ok = ((sig[two] == sig[two + 1]).mean(1) >= likely) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
             ok &= (side[two] == 0) | (side[two] != side[two + 1])
             out = [np.sort(np.stack([node[two[ok]], node[two[ok] + 1]], 1), axis=1)]
             for s, k in zip(start[size > 2], size[size > 2]):
                 at = slice(s, s + k)
-                found = np.array(_forest(_alike(n[at], sig[at], side[at]), likely), np.int64).reshape(-1, 2)
+                found = np.array(_forest(_alike(n[at], sig[at], side[at], percent), likely), np.int64).reshape(-1, 2)
                 out.append(np.sort(node[at][found], axis=1))
             fresh = [p for p in dict.fromkeys(map(tuple, np.concatenate(out).tolist())) if p not in seen]
             if len(seen) < 50_000:  # repeats of other bands go early; distinct() takes the others
@@ -240,11 +240,31 @@ def _forests(likely: float):
     return run
 
 
+def _joined(pairs: Iterable[tuple[int, int]], comp: np.ndarray, sets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of components, confirmed on the sets; a pair is tested only while its components are apart."""
+    root, out = {x: x for x in comp.tolist()}, []
+    for i, j in pairs:
+        a, b = int(comp[i]), int(comp[j])
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        if a == b:
+            continue
+        x, y = sets[i].view(np.uint64), sets[j].view(np.uint64)
+        at = np.searchsorted(x, y)
+        both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            root[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return out
+
+
 def _joins(percent: int, likely: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups with their components and full sets -> links that join components, confirmed; most alike first.
 
-        A pair is tested in the first band that it shares, and only while its two components are apart.
+        A pair is tested in the first band that it shares.
         """
         for group, node, n, side, sig, comp, bands, sets in _whole_groups(batches):
             bounds, found = _bounds(group), []
@@ -252,7 +272,7 @@ def _joins(percent: int, likely: float):
                 c = comp[s:e]
                 if (c == c[0]).all():
                     continue
-                alike = _alike(n[s:e], sig[s:e], side[s:e])
+                alike = _alike(n[s:e], sig[s:e], side[s:e], percent)
                 alike[c[:, None] == c] = 0
                 keys = np.stack(bands[s:e])
                 here = np.argmax(keys[0] == group[s, 0])
@@ -262,21 +282,23 @@ def _joins(percent: int, likely: float):
                     if len(js):
                         js = js[np.argmax(keys[js] == keys[i], axis=1) == here]
                         tests += [(-alike[i, j], i, j) for j in js]
-                root = {x: x for x in c.tolist()}
-                for _, i, j in sorted(tests):
-                    a, b = int(c[i]), int(c[j])
-                    while root[a] != a:
-                        a = root[a]
-                    while root[b] != b:
-                        b = root[b]
-                    if a == b:
-                        continue
-                    x, y = sets[s + i].view(np.uint64), sets[s + j].view(np.uint64)
-                    at = np.searchsorted(x, y)
-                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        root[max(a, b)] = min(a, b)
-                        found.append((a, b))
+                found += _joined(((i, j) for _, i, j in sorted(tests)), c, sets[s:e], percent)
+            out = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _exact_joins(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups with their components and full sets -> links that join components, of all pairs whose sizes allow one."""
+        for group, _, n, side, _, comp, sets in _whole_groups(batches):
+            bounds, found = _bounds(group), []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                c, k, of = comp[s:e], n[s:e], side[s:e]
+                if (c != c[0]).any():
+                    able = (100 * np.minimum(k[:, None], k) >= percent * np.maximum(k[:, None], k)) & (c[:, None] != c) & ((of == 0) | (of[:, None] != of))
+                    found += _joined(zip(*np.nonzero(np.triu(able))), c, sets[s:e], percent)
             out = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
@@ -304,16 +326,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def _missed(sets: DataFrame, comps: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """``node, n, shingles`` of all nodes and their components -> the links between components that there still are.
+
+    Shingles are ordered by how many sets hold them, the rarest first. Two sets of the similarity asked for share one
+    of the first n - ceil(n * percent / 100) + 1 of either, so sets that share such a shingle are all that need a test,
+    and only where it is shared across components.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    tokens = sets.select("node", "n", salt, F.explode("shingles").alias("key"))
+    often = tokens.groupBy("key").agg(F.count("*").alias("often")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ordered = tokens.join(often, ["key", "salt"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("order"))
+    prefix = ordered.select("node", "n", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("t")).select("node", "n", "t.key").distinct()
+    prefix = materialise(prefix.join(comps, "node"), "prefixes")
+    shared = prefix.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "size")
+    rest = prefix.join(shared, "key").join(sets, ["node", "n"]).withColumn("sig", F.lit(b"\0"))
+    found = materialise(_grouped(rest, chunk, "comp", "shingles").mapInArrow(_exact_joins(percent), "a long, b long").distinct(), "links")
+    discard(prefix)
+    return found
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
-    ``component_id``: the smallest doc_id reachable over links of similarity ``percent`` / 100 or more (80 at least),
-    its own included; ``kept``: it is its own. Null and empty texts and those without a word have no shingles and no
-    links. Rows that repeat a doc_id are one document with several texts. A null doc_id links with nothing:
-    component_id null, kept. Empty table: no rows. Other columns are not read. Ids are integers.
+    ``component_id``: the smallest doc_id reachable over links of similarity ``percent`` / 100 or more (50 to 100), its
+    own included; ``kept``: it is its own. Null and empty texts and those without a word have no shingles and no
+    links. Very long texts count whole. Rows that repeat a doc_id are one document with several texts. A null doc_id
+    links with nothing: component_id null, kept. Ties do not matter, as components have but one smallest id. Empty
+    table: no rows. Other columns are not read, whatever they are called. Ids are integers. ``exact``: also find the
+    links that signatures miss (see above), which moves every shingle two times. The result is a written table.
     """
     n_bands, n_rows, bar = banding(percent)
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_signed(n_bands, n_rows), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
+    texts_of = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = materialise(texts_of.mapInArrow(_signed(n_bands, n_rows), "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"), "signatures")
     real = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = ["h1", "h2", "n"]
     held = materialise(real.groupBy(*same).agg(F.min("doc_id").alias("node")), "nodes")
@@ -328,12 +374,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     full = materialise(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     buckets = materialise(keys.join(full, "key"), "buckets")
     signed = nodes.select("node", "n", "sig")
-    first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests(bar), "a long, b long").distinct(), "pairs")
+    first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests(percent, bar), "a long, b long").distinct(), "pairs")
     likely = materialise(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "nodes")
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(likely.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    wanted = texts_of.join(likely.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = materialise(wanted.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    links = materialise(_confirmed(first, sets, percent).unionByName(own), "links")
-    part = materialise(connected_components(links), "components")
+    confirmed = links = materialise(_confirmed(first, sets, percent).unionByName(own), "links")
+    part = connected_components(links)
     placed = materialise(likely.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
     # buckets of two had their only pair tested; those of one component have nothing to join
     open_ = materialise(buckets.where("size > 2").join(placed, "node"), "buckets")
@@ -342,12 +388,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rest = rest.join(sets.withColumn("n", F.size("shingles").cast("long")), ["node", "n"])
     second = _grouped(rest, chunk, "comp", "bands", "shingles").mapInArrow(_joins(percent, bar), "a long, b long").distinct()
     joined = materialise(second, "links")
-    whole = materialise(connected_components(joined.unionByName(links)), "components")
-    for t in (sets, buckets, full, nodes, first, placed, part, open_, apart, joined, links, likely, held):
-        discard(t)
+    links = joined.unionByName(links)
+    whole = connected_components(links)
+    if exact:
+        wanted = texts_of.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        every = materialise(wanted.mapInArrow(_sets, "node long, shingles array<long>").withColumn("n", F.size("shingles").cast("long")).where("n > 0").distinct(), "sets")
+        comps = materialise(every.select("node").distinct().join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
+        more = _missed(every, comps, percent, chunk)
+        discard(whole)
+        whole = connected_components(links.unionByName(more))
+        discard(every, comps, more)
     linked = member.join(whole, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = materialise(found, "near-duplicates")
+    discard(rows, held, member, nodes, full, buckets, first, likely, sets, confirmed, part, placed, open_, apart, joined, whole)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:
