@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triplane.llm.common import parts
+
 #: Pre-tokens kept with their ids in each Python worker; the table starts anew when it is full.
 REMEMBERED = 700_000
 #: The worker's coder, for the tasks of one call that it runs one after another.
@@ -175,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
     """``doc_id, ids`` for every row, and with ``decoded`` the bytes that the ids decode to.
 
     Null and empty texts: no ids. Null or repeated doc_id: every row stays. Whole texts, however long. Empty table: no
-    rows. Other columns are not read. Each match of ``pattern`` is encoded separately; what it does not match is left
+    rows. Other columns are not read, whatever they are called; ties do not arise. Each match of ``pattern`` is encoded separately; what it does not match is left
     out, as findall does. The rank file is read by the driver and broadcast: its size does not depend on the data.
     """
     spark = docs.sparkSession
@@ -188,9 +190,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
             _CODER[call] = Encoder(shared.value, pattern, quick)
         coder = _CODER[call]
         for batch in batches:
-            step = 512
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in parts(batch, 1, 512, 1 << 20):  # the linked list takes some hundred bytes for one of text
                 ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 back = [coder.decode(x) for x in ids] if decoded else []
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, quick: str | None = N
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)] + [pa.array(back, pa.binary())] * decoded
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
