@@ -17,8 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from triplane.llm.common import held_out, least_hashed
+from triplane.llm.common import handed, held_out, least_hashed, parts
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_co
 
     N-grams are counted by the executors; languages x buckets counts, whose number is fixed, reach the driver.
     """
-    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
+    known = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"))
     chosen = least_hashed(known, "doc_id", max_rows).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_co
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(c[some])], names=["lang", "bucket", "n"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL")
     found = texts.join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
     counted = found.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counted["lang"]))
@@ -116,30 +117,32 @@ def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_co
 def predict(docs: DataFrame, model: Codes, lead: float = 0.2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` for every row, and the columns of ``keep`` as they are.
 
-    Null texts and those without a letter: ``und``, score 0, ambiguous. So are all when nothing was learnt. Null or
-    repeated doc_id: every row stays. Empty table: no rows. Other columns are not read.
+    Null texts and those without a letter: ``und``, score 0, ambiguous. So are all when nothing was learnt. Beyond
+    ``ENOUGH`` n-grams a text's evidence counts by the root of its length, so that very long texts are not certain by
+    length alone; all of it is read. Ties of languages: the first by name. Null or repeated doc_id, repeated rows:
+    every row stays. Empty table: no rows. Other columns are not read. A kept column that is called as a result comes
+    out with ``_kept`` behind its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep if c not in (id_col, text_col)]
-    taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema) + ", lang_pred string, score double, ambiguous boolean"
-    names = [*taken.columns, "lang_pred", "score", "ambiguous"]
+    taken, at, kept = handed(docs, id_col, text_col, keep, ("doc_id", "lang_pred", "score", "ambiguous"))
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    schema = T.StructType([taken.schema[0], *made, *kept])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts(batch, at, 1024):
                 found = []
-                for text in part.column(1):
+                for text in part.column(at):
                     t = text.as_py()
                     found.append(codes.decode(codes.margins(t)) if t and _LETTER.search(t) else (UNKNOWN, 0.0, 0.0))
                 pred, score, gap = zip(*found)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array([g < lead for g in gap])], names=names)
+                told = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([g < lead for g in gap], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *told, *part.columns[1 : 1 + len(kept)]], names=names)
             pa.default_memory_pool().release_unused()
 
-    out = taken.mapInArrow(run, schema)
-    return out.withColumnRenamed("_text", text_col) if text_col in keep else out.drop("_text")
+    return taken.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from triplane.llm.common import held_out, least_hashed
+from triplane.llm.common import handed, held_out, least_hashed, parts
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "longest_word", "upper", "digit", "stop", "shout", "symbol", "pipe",
@@ -143,22 +144,25 @@ def fit_gam(x: np.ndarray, y: np.ndarray, bins: int = 48, coarse_bins: int = 8,
     return Gam(edges, tables, coarse, pairs, base)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
-    """Learn from at most ``max_rows`` labelled rows, those of least hash of the id; the model's size is fixed.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id") -> Gam:
+    """Learn from at most ``max_rows`` labelled ids, those of least hash; the model's size is fixed.
 
-    Null ids or labels are left out; of several labels of one id the least counts. Every row of a repeated id counts.
+    Null ids or labels are left out. Of several labels of one id the least counts, and of several texts that of the
+    least features, so an id gives one row, however often it is repeated.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = least_hashed(known, "doc_id", max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "doc_id"])
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-    rows = found.select("text", F.col("y").cast("double").alias("y"), F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(run, "x array<double>, y double, doc_id string").toPandas()
+            for part in parts(batch, 0, 1024):
+                rows = [features(t.as_py()) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", "y", "doc_id"])
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
+    rows = found.select("text", F.col("y").cast("double").alias("y"), F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(run, "x array<double>, y double, doc_id string")
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas()  # max_rows rows at most
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit_gam(x, rows["y"].to_numpy(np.float64))
@@ -167,26 +171,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
 def score(docs: DataFrame, model: Gam, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score, predicted`` for every row, and the columns of ``keep`` as they are.
 
-    Null and empty texts are scored as empty ones. Null or repeated doc_id: every row stays. Empty table: no rows.
-    Other columns are not read.
+    Null and empty texts are scored as empty ones, very long ones whole. Null or repeated doc_id, repeated rows: every
+    row stays; equal texts have equal scores. Empty table: no rows. Other columns are not read. A kept column that is
+    called as a result comes out with ``_kept`` behind its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep if c not in (id_col, text_col)]
-    taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *kept)
+    taken, at, kept = handed(docs, id_col, text_col, keep, ("doc_id", "score", "predicted"))
+    schema = T.StructType([taken.schema[0], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *kept])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = np.array([features(t.as_py()) for t in part.column(1)])
-                s = shared.value.score(x)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
+            for part in parts(batch, at, 1024):
+                s = shared.value.score(np.array([features(t.as_py()) for t in part.column(at)]))
+                told = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *told, *part.columns[1 : 1 + len(kept)]], names=names)
             pa.default_memory_pool().release_unused()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema) + ", score double, predicted int"
-    names = [*taken.columns, "score", "predicted"]
-    out = taken.mapInArrow(run, schema)
-    return out.withColumnRenamed("_text", text_col) if text_col in keep else out.drop("_text")
+    return taken.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
