@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from triplane.llm import ann, bpe, chat, dedup, html, langid, packing, quality, shards, topk
+from triplane.llm import ann, bpe, chat, dedup, html, langid, packing, pipeline, quality, shards, topk
 
 
 def queries():
@@ -18,7 +17,7 @@ def queries():
         "op8_html_extraction": html.query,
         "op9_byte_bpe": bpe.query,
         "op10_additive_ann": ann.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
