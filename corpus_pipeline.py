@@ -1,71 +1,5 @@
-"""From raw documents to packed sequences: quality, language, near-duplicates, packing.
+"""From raw documents to packed sequences: quality, language, near-duplicates, packing."""
 
-Each stage takes what its predecessor kept, whole. All but the last return the columns of documents.
-"""
+from triplane.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from triplane.llm import dedup, langid, packing, quality
-from triplane.llm.common import held_out, materialise
-
-#: Scores below this are rejected; between it and the classifier's own threshold a document may well be clean.
-LEAST_QUALITY = 0.5
-#: Least similarity of near-duplicates over runs of five words, in percent.
-LEAST_SIMILARITY = 80
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score ``LEAST_QUALITY`` or more."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(docs, labels.where(~held_out()))
-    scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
-
-
-def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows and tells clearly; no letter or no clear lead is rejected."""
-    model = langid.fit(docs.where(~held_out()))
-    told = langid.predict(docs, model, keep=tuple(docs.columns))
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(docs.columns)
-
-
-def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least doc_id, a null one last, then the least row key.
-
-    A row's key is the hash of its columns, so different rows of one doc_id, or of none, are documents of their own,
-    and equal rows are one.
-    """
-    parts = [f(F.col(f"`{c}`")) for c in docs.columns for f in (F.isnull, lambda x: x)]
-    keyed = docs.withColumn("_row_key", F.xxhash64(*parts))
-    found = dedup.near_duplicates(keyed, LEAST_SIMILARITY, id_col="_row_key")
-    groups = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
-    ids = groups.join(keyed.select("_row_key", "doc_id").distinct(), "_row_key")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row_key"))
-    kept = ids.groupBy("component_id").agg(first.alias("first")).select("first._row_key")
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in sequences of byte-level tokens, one more token ending each document."""
-    return packing.pack(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
-
-
-STAGES = [
-    ("quality classifier", keep_quality),
-    ("language ID", keep_language),
-    ("MinHash near-dedup", keep_one_of_copies),
-    ("best-fit packing", pack_sequences),
-]
-
-#: The stages learn models and link sets, which SQL cannot express; the tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
