@@ -143,6 +143,60 @@ def test_load_keeps_blank_nodes_apart(spark, tmp_path):
     assert rows(Dataset(found).graph_names().select("g.lex")) == [("urn:1",), ("urn:2",)]
 
 
+def test_turtle(spark, tmp_path):
+    from triplane.sources.turtle import read_turtle
+
+    (tmp_path / "a.ttl").write_text("""# a comment
+@prefix : <http://x/> . PREFIX p: <http://p#>
+@base <http://b/dir/> .
+:a p:b <c>, p:d\\-e ; a :T ;; p:n 1, -2.5, 3e4, true .
+_:x p:list ( 1 "two"@en-GB [ p:q 'it\\u0041' ] ) .
+[ p:own """ + '"""long "quoted"\ntext""" ' + """] .
+[] p:typed "5"^^p:t ; p:empty () .
+:dot.ted p:b :x.y .
+""")
+    got = read_turtle(spark, str(tmp_path / "*.ttl")).collect()
+    plain = {(r["s"]["lex"] if r["s"]["kind"] == 0 else "_", r["p"]["lex"], tuple(r["o"])[1:] if r["o"]["kind"] != 1 else "_") for r in got}
+    xsd, rdf = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    want = {("http://x/a", "http://p#b", (o, None, None)) for o in ("http://b/dir/c", "http://p#d-e")} | {("http://x/a", rdf + "type", ("http://x/T", None, None))}
+    want |= {("http://x/a", "http://p#n", (v, xsd + k, None)) for v, k in (("1", "integer"), ("-2.5", "decimal"), ("3e4", "double"), ("true", "boolean"))}
+    want |= {("_", "http://p#list", "_"), ("_", rdf + "first", ("1", xsd + "integer", None)), ("_", rdf + "first", ("two", None, "en-GB")), ("_", rdf + "first", "_"), ("_", rdf + "rest", "_"), ("_", rdf + "rest", (rdf + "nil", None, None))}
+    want |= {("_", "http://p#q", ("itA", None, None)), ("_", "http://p#own", ('long "quoted"\ntext', None, None)), ("_", "http://p#typed", ("5", "http://p#t", None)), ("_", "http://p#empty", (rdf + "nil", None, None))}
+    assert plain == want | {("http://x/dot.ted", "http://p#b", ("http://x/x.y", None, None))} and len(got) == len(plain) + 1
+    (tmp_path / "b.ttl").write_text("_:x <urn:p> 1 .")
+    found = load(spark, [{"file": str(tmp_path / "b.ttl"), "graph": "urn:g"}, {"file": str(tmp_path / "b.ttl"), "graph": "urn:h"}])
+    assert len({r["s"]["lex"] for r in found.collect()}) == 2
+    (tmp_path / "c.ttl").write_text("<urn:a> <urn:b> .")
+    with pytest.raises(Exception, match="mark|expected"):
+        read_turtle(spark, str(tmp_path / "c.ttl")).collect()
+
+
+def test_result_files(spark, tmp_path):
+    import csv
+    import json
+    import xml.etree.ElementTree as tree
+
+    df = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "<&,'), F.col("id").cast("string"))).alias("x")).repartition(5)
+
+    def text(kind, table=df):
+        path = tmp_path / f"{kind}{table is df}"
+        results.write_results(table, str(path), kind)
+        return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+    want = sorted((k, f'a "<&,{k}' if k % 3 else None) for k in range(1000))
+    found = list(csv.reader(text("csv").splitlines()))
+    assert found[0] == ["n", "x"] and sorted((int(n), x or None) for n, x in found[1:]) == want
+    assert text("tsv").startswith("?n\t?x\n") and len(text("tsv", df.limit(3)).splitlines()) == 4
+    found = json.loads(text("json"))
+    assert found["head"] == {"vars": ["n", "x"]} and sorted((int(b["n"]["value"]), b.get("x", {}).get("value")) for b in found["results"]["bindings"]) == want
+    assert json.loads(text("json", df.limit(0)))["results"]["bindings"] == []
+    assert rows(results.read_json(spark, str(tmp_path / "jsonTrue"), ["x"]).select("x.lex")) == sorted(((x,) for _, x in want), key=repr)
+    found = tree.fromstring(text("xml"))
+    assert len(found[1]) == 1000 and found[0][0].attrib == {"name": "n"}
+    with pytest.raises(ValueError):
+        results.to_csv(df, rows=999)
+
+
 def test_results_round_trip(spark, quads, tmp_path):
     df = match(quads, var("s"), var("p"), var("o"))
     df = df.withColumn("n", F.when(F.col("s.kind") == 1, F.col("s")))
@@ -188,6 +242,50 @@ def test_describe_follows_blank_nodes(spark):
     assert forms.describe(quads, quads.where("s.lex = 'urn:a'").select("s")).count() == 3
 
 
+def test_insertions_append(spark, quads):
+    n = len(quads.collect())
+    store = Store(quads.unionByName(quads).withColumn("g", F.coalesce("g", iri("urn:d"))), parts=3)
+    more = quads.drop("g").withColumn("p", iri("urn:new"))
+    store.insert(more, "urn:h")
+    files = set(store.quads.inputFiles())
+    before = store.quads
+    store.insert(more.unionByName(more), "urn:h")  # nothing new
+    assert store.quads.count() == before.count() == 2 * n and files <= set(store.quads.inputFiles())
+    store.insert(more.limit(1), "urn:i")
+    assert store.parts == 1 and store.quads.count() == 2 * n + 1 and not files & set(store.quads.inputFiles())
+    store.insert(more, "urn:j")
+    assert store.parts == 2 and store.quads.count() == 3 * n + 1
+    stored = Store(store.quads, distinct=True).insert(more, "urn:k")
+    assert set(store.quads.inputFiles()) < set(stored.quads.inputFiles()) and stored.quads.count() == 4 * n + 1
+
+
+def test_exists_of_maybe_bound(maybe):
+    from triplane.plans import explain
+
+    left, right, a, b = maybe
+    want = sorted((tuple(p[n] for n in "kxy") for p in a if any(fits(p, q) for q in b)), key=repr)
+    got = joins.exists(left, right, maybe=("x", "y"))
+    assert rows(got) == want
+    rest = joins.not_exists(left, right, maybe=("x", "y"))
+    assert rows(rest) == sorted((tuple(p[n] for n in "kxy") for p in a if not any(fits(p, q) for q in b)), key=repr)
+    assert "NestedLoop" not in explain(got) + explain(rest) and "Cartesian" not in explain(got) + explain(rest)
+    flagged = {tuple(r)[:3]: r["f"] for r in joins.exists_flag(left, right, "f", maybe=("x", "y")).collect()}
+    assert flagged == {tuple(p[n] for n in "kxy"): any(fits(p, q) for q in b) for p in a}
+    some = joins.exists(left, right, joins.right("z") > 104, maybe=("x", "y"))
+    assert rows(some) == sorted((tuple(p[n] for n in "kxy") for p in a if any(fits(p, q) and q["z"] > 104 for q in b)), key=repr)
+    assert {r["f"] for r in joins.exists_flag(left, right.select("z"), "f").collect()} == {True}
+
+
+def test_join_of_three_maybe_bound(spark):
+    rng = random.Random(8)
+    v = lambda: rng.choice((None, 1, 2))
+    a, b = ([dict(zip("xyz", (v(), v(), v())), **{k: i}) for i in range(12)] for k in "kl")
+    left, right = solutions_of(spark, "xyzk", [tuple(r.values()) for r in a]), solutions_of(spark, "xyzl", [tuple(r.values()) for r in b])
+    want = sorted((tuple(merged(p, q)[n] for n in "xyzkl") for p in a for q in b if fits(p, q)), key=repr)
+    assert rows(joins.join(left, right, maybe=("x", "y", "z")).select(*"xyzkl")) == want
+    assert joins.join(left.limit(0), right, maybe=("x", "y", "z")).count() == 0
+
+
 def test_updates(spark, quads, tmp_path):
     store = Store(quads.withColumn("g", F.coalesce("g", iri("urn:d"))))
     count = lambda: dict(rows(store.quads.groupBy("g.lex").count()))

@@ -31,8 +31,11 @@ def _shared(a: DataFrame, b: DataFrame) -> list[str]:
 
 def _parts(df: DataFrame, maybe: list[str]) -> list[tuple[frozenset[str], DataFrame]]:
     """The rows by which variables of ``maybe`` they bind."""
+    masks = product((True, False), repeat=len(maybe))
+    if len(maybe) > 2:  # many patterns, of which few occur: these are looked up first, 2 ** n rows at most
+        masks = [tuple(r) for r in df.select(*(F.col(f"`{n}`").isNotNull() for n in maybe)).distinct().collect()] or [(True,) * len(maybe)]
     out = []
-    for mask in product((True, False), repeat=len(maybe)):
+    for mask in masks:
         part = df
         for name, is_bound in zip(maybe, mask):
             column = F.col(f"`{name}`")
@@ -101,18 +104,41 @@ def minus(left_df: DataFrame, right_df: DataFrame, maybe: tuple[str, ...] = ())
     return reduce(DataFrame.unionByName, kept)
 
 
-def exists(left_df: DataFrame, right_df: DataFrame, condition: Column | None = None, negated: bool = False) -> DataFrame:
-    """Left rows with (or, negated, without) a right row that agrees in the shared variables and meets ``condition``."""
-    return left_df.join(_renamed(right_df), _on(_shared(left_df, right_df), condition), "left_anti" if negated else "left_semi")
+def _any(part: DataFrame, other: DataFrame, names: list[str], condition: Column | None, negated: bool) -> DataFrame:
+    """Rows of ``part`` with (or without) a row of ``other`` that has these variables in common."""
+    if names or condition is not None:
+        return part.join(other, _on(names, condition), "left_anti" if negated else "left_semi")
+    there = other.select(F.lit(1)).limit(1).exists()  # any row will do: a scalar subquery, no join
+    return part.where(~there if negated else there)
 
 
-def not_exists(left_df: DataFrame, right_df: DataFrame, condition: Column | None = None) -> DataFrame:
-    return exists(left_df, right_df, condition, negated=True)
+def exists(left_df: DataFrame, right_df: DataFrame, condition: Column | None = None, negated: bool = False, maybe: tuple[str, ...] = ()) -> DataFrame:
+    """Left rows with (or, negated, without) a right row that agrees in the shared variables and meets ``condition``.
+
+    A variable of ``maybe`` that either side leaves unbound agrees with anything, as it is not substituted.
+    """
+    kept = []
+    for rest, others in _split(left_df, right_df, maybe):
+        for i, (names, other) in enumerate(others):
+            if not negated:
+                kept.append(_any(rest, other, names, condition, False))
+            if negated or i + 1 < len(others):
+                rest = _any(rest, other, names, condition, True)
+        if negated:
+            kept.append(rest)
+    return reduce(DataFrame.unionByName, kept)
+
+
+def not_exists(left_df: DataFrame, right_df: DataFrame, condition: Column | None = None, maybe: tuple[str, ...] = ()) -> DataFrame:
+    return exists(left_df, right_df, condition, negated=True, maybe=maybe)
 
 
-def exists_flag(left_df: DataFrame, right_df: DataFrame, name: str) -> DataFrame:
+def exists_flag(left_df: DataFrame, right_df: DataFrame, name: str, maybe: tuple[str, ...] = ()) -> DataFrame:
     """A boolean column that says whether such a right row exists, for use inside larger expressions."""
     shared = _shared(left_df, right_df)
+    if set(maybe) & set(shared):
+        return exists(left_df, right_df, maybe=maybe).withColumn(name, F.lit(True)).unionByName(not_exists(left_df, right_df, maybe=maybe).withColumn(name, F.lit(False)))
+    if not shared:
+        return left_df.withColumn(name, right_df.select(F.lit(1)).limit(1).exists())
     keys = right_df.select(*(F.col(f"`{c}`") for c in shared)).distinct().withColumn(name, F.lit(True))
-    flagged = left_df.join(keys, shared, "left") if shared else left_df.crossJoin(right_df.limit(1).agg((F.count("*") > 0).alias(name)))
-    return flagged.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return left_df.join(keys, shared, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))

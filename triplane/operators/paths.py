@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplane.operators.patterns import Term, match, test, var
-from triplane.written import written
+from triplane.written import discard, written
 
 
 def link(quads: DataFrame, predicate: Term) -> DataFrame:
@@ -56,7 +56,7 @@ def one_or_more(edges: DataFrame, start: DataFrame | None = None, end: DataFrame
     edges = written(edges.distinct(), "edges")
     fresh = edges if start is None else edges.join(start.select("a").distinct(), "a", "left_semi")
     fresh = written(fresh, "paths")
-    found = [fresh]
+    found, spare = [fresh], []
     while not fresh.isEmpty():
         known = found[0]
         for part in found[1:]:
@@ -65,7 +65,13 @@ def one_or_more(edges: DataFrame, start: DataFrame | None = None, end: DataFrame
         fresh = written(further, "paths")
         found.append(fresh)
         if len(found) > 16:
-            found = [written(known.unionByName(fresh), "paths")]
+            merged = written(known.unionByName(fresh), "paths")
+            discard(*found[:-1])  # the last one is still to be extended
+            found = [merged]
+            spare.append(fresh)
+        elif spare and spare[0] is not fresh:
+            discard(spare.pop())
+    discard(edges, *spare)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

@@ -1,4 +1,4 @@
-"""Graph updates: every operation makes a new version of the quads, written to the shared folder."""
+"""Graph updates: insertions are appended to the quads, other operations write a new version, in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triplane.operators.forms import instances
 from triplane.operators.graphs import DEFAULT
 from triplane.terms import BNODE, iri
-from triplane.written import written
+from triplane.written import discard, written
 
 QUAD = ["s", "p", "o", "g"]
 
@@ -18,24 +18,40 @@ class ReadOnly(Exception):
 
 
 class Store:
-    """A set of quads that can be updated. ``quads`` is always the present version; older ones stay readable."""
+    """A set of quads that can be updated. ``quads`` is always the present version; older ones stay readable.
 
-    def __init__(self, quads: DataFrame, read_only: bool = False):
-        self.quads, self.read_only = quads.select(*QUAD), read_only
+    The first update copies the quads that the store was made from, once and without repeats, unless ``distinct`` says
+    that they are a set already. From then on, insertions look up what is there and write the new rows alone; after
+    ``parts`` of them the tables are written into one.
+    """
 
-    def _become(self, quads: DataFrame) -> Store:
+    def __init__(self, quads: DataFrame, read_only: bool = False, distinct: bool = False, parts: int = 16):
+        self.quads, self.read_only, self.own, self.most, self.parts = quads.select(*QUAD), read_only, distinct, parts, 1
+
+    def _check(self) -> None:
         if self.read_only:
             raise ReadOnly("mapped tables cannot be updated; copy their quads into a Store of their own")
-        self.quads = written(quads, "quads")
+
+    def _become(self, quads: DataFrame) -> Store:
+        self._check()
+        self.quads, self.own, self.parts = written(quads if self.own else quads.dropDuplicates(), "quads"), True, 1
         return self
 
+    def _append(self, quads: DataFrame) -> Store:
+        self._check()
+        if not self.own:
+            self._become(self.quads)
+        fresh = written(quads.dropDuplicates().join(self.quads, QUAD, "left_anti"), "quads")
+        self.quads, self.parts = self.quads.unionByName(fresh), self.parts + 1
+        return self._become(self.quads) if self.parts > self.most else self
+
     @staticmethod
     def _with_graph(triples: DataFrame, graph: str = DEFAULT) -> DataFrame:
         return triples.select(*QUAD) if "g" in triples.columns else triples.select("s", "p", "o", iri(graph).alias("g"))
 
     def insert(self, triples: DataFrame, graph: str = DEFAULT) -> Store:
         """INSERT DATA: triples into ``graph``, or quads; what is there already is not there twice."""
-        return self._become(self.quads.unionByName(self._with_graph(triples, graph)).dropDuplicates())
+        return self._append(self._with_graph(triples, graph))
 
     def delete(self, triples: DataFrame, graph: str = DEFAULT) -> Store:
         """DELETE DATA; blank nodes name nothing here."""
@@ -47,19 +63,19 @@ class Store:
     def modify(self, solutions: DataFrame, delete: tuple[tuple, ...] = (), insert: tuple[tuple, ...] = (), graph: str = DEFAULT) -> Store:
         """DELETE / INSERT ... WHERE: solutions are taken once, from the present version; all deletions come before insertions."""
         found = written(solutions, "solutions")
-        quads = self.quads
         if delete:
-            quads = quads.join(self._with_graph(instances(found, *delete), graph), QUAD, "left_anti")
+            self._become(self.quads.join(self._with_graph(instances(found, *delete), graph), QUAD, "left_anti"))
         if insert:
-            quads = quads.unionByName(self._with_graph(instances(found, *insert), graph)).dropDuplicates()
-        return self._become(quads)
+            self._append(self._with_graph(instances(found, *insert), graph))
+        discard(found)
+        return self
 
     def load(self, path: str, graph: str = DEFAULT, silent: bool = False) -> Store:
-        """LOAD of N-Triples or N-Quads files."""
-        from triplane.sources.rdf import read_rdf
+        """LOAD of N-Triples, N-Quads or Turtle files."""
+        from triplane.sources.rdf import read_any
 
         try:
-            rows = read_rdf(self.quads.sparkSession, path)
+            rows = read_any(self.quads.sparkSession, path)
             rows.take(1)
         except Exception:
             if silent:
@@ -96,14 +112,15 @@ class Store:
             raise ValueError(f"no graph {source}")
         return self.insert(self.quads.where(F.col("g.lex") == source).select("s", "p", "o"), target)
 
-    def copy(self, source: str, target: str, silent: bool = False) -> Store:
+    def copy(self, source: str, target: str, silent: bool = False, moved: bool = False) -> Store:
+        """The target becomes as the source; with ``moved`` the source goes, in the same version."""
         if source == target:
             return self
         if not silent and source != DEFAULT and not self.has_graph(source):
             raise ValueError(f"no graph {source}")
-        kept = self.quads.where(F.col("g.lex") != target)
+        kept = self.quads.where(~F.col("g.lex").isin([target, source] if moved else [target]))
         copied = self.quads.where(F.col("g.lex") == source).select("s", "p", "o", iri(target).alias("g"))
         return self._become(kept.unionByName(copied))
 
     def move(self, source: str, target: str, silent: bool = False) -> Store:
-        return self if source == target else self.copy(source, target, silent).drop(source, silent=True)
+        return self.copy(source, target, silent, moved=True)

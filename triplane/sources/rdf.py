@@ -68,11 +68,20 @@ def read_rdf(spark: SparkSession, path: str | list[str], scope: str = "", strict
     return parse_lines(spark.read.text(path), scope, strict).dropDuplicates()
 
 
+def read_any(spark: SparkSession, path: str, scope: str = "", syntax: str | None = None) -> DataFrame:
+    """As :func:`read_rdf`, or Turtle where ``syntax`` or the name's ending says so."""
+    if syntax == "turtle" or syntax is None and path.endswith((".ttl", ".turtle")):
+        from triplane.sources.turtle import read_turtle
+
+        return read_turtle(spark, path, scope)
+    return read_rdf(spark, path, scope)
+
+
 def load(spark: SparkSession, sources: list[dict]) -> DataFrame:
-    """``[{"file": ..., "graph": ...}]`` -> quads; a file's blank nodes are its own, its triples go to ``graph``."""
+    """``[{"file": ..., "graph": ..., "syntax": ...}]`` -> quads; a file's blank nodes are its own, its triples go to ``graph``."""
     out = None
     for i, source in enumerate(sources):
-        rows = read_rdf(spark, source["file"], scope=f"f{i}_")
+        rows = read_any(spark, source["file"], f"f{i}_", source.get("syntax"))
         rows = rows.withColumn("g", F.coalesce("g", iri(source.get("graph", "urn:x-default"))))
         out = rows if out is None else out.unionByName(rows)
     return out.dropDuplicates()

@@ -1,12 +1,12 @@
 """Solutions as CSV, TSV, JSON, XML and text tables, and back from JSON and XML.
 
-Files are written by the executors. The functions that give one string are for results that a client reads whole.
+``write_results`` writes whole files by the executors. The functions that give one string are for what a client reads
+at once: they take a number of solutions that they refuse to exceed.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from triplane.sources.rdf import render
 from triplane.terms import BNODE, IRI, LITERAL, lift, term
+from triplane.written import discard, written
 
 
 def as_terms(df: DataFrame) -> DataFrame:
@@ -73,31 +74,73 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.text(path)
 
 
-def _text(lines: DataFrame) -> Iterator[str]:
-    return (row[0] for row in lines.toLocalIterator())
+XML_HEAD = '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n'
 
 
-def to_csv(df: DataFrame) -> str:
-    return "".join(f"{x}\n" for x in (",".join(df.columns), *_text(csv_lines(df))))
+def _frame(kind: str, names: list[str]) -> tuple[str, str]:
+    """What stands before and after the solutions."""
+    if kind == "csv":
+        return ",".join(names), ""
+    if kind == "tsv":
+        return "\t".join(f"?{c}" for c in names), ""
+    if kind == "json":
+        return f'{{"head":{json.dumps({"vars": names})},"results":{{"bindings":[', "]}}"
+    variables = "".join(f"<variable name={quoteattr(c)}/>" for c in names)
+    return f"{XML_HEAD}<head>{variables}</head>\n<results>", "</results>\n</sparql>"
 
 
-def to_tsv(df: DataFrame) -> str:
-    return "".join(f"{x}\n" for x in ("\t".join(f"?{c}" for c in df.columns), *_text(tsv_lines(df))))
+def write_results(df: DataFrame, path: str, kind: str) -> None:
+    """``csv``, ``tsv``, ``json`` or ``xml`` files in the folder ``path``, whose concatenation by name is one document.
 
+    The head and the end are rows of their own before and behind the solutions, so all is written by the executors.
+    """
+    lines = {"csv": csv_lines, "tsv": tsv_lines, "json": json_lines, "xml": xml_lines}[kind](df)
+    head, end = (df.sparkSession.createDataFrame([(x,)], "value string").coalesce(1) for x in _frame(kind, df.columns))
+    rows = None
+    if kind == "json":  # a comma before each but the first, which the least number tells
+        rows = written(lines.withColumn("id", F.monotonically_increasing_id()), "bindings")
+        first = rows.agg(F.min("id")).first()[0]
+        lines = rows.orderBy("id").select(F.when(F.col("id") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    whole = head.unionByName(lines)
+    write_lines(whole.unionByName(end) if kind in ("json", "xml") else whole, path)
+    if rows is not None:
+        discard(rows)
 
-def to_json(df: DataFrame) -> str:
+
+def _document(df: DataFrame, kind: str, rows: int) -> str:
+    lines = {"csv": csv_lines, "tsv": tsv_lines, "json": json_lines, "xml": xml_lines}[kind](df)
+    found = [r[0] for r in lines.limit(rows + 1).collect()]
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} solutions: write them with write_results")
+    head, end = _frame(kind, df.columns)
+    if kind == "json":
+        return head + ",".join(found) + end
+    return "".join(f"{x}\n" for x in (head, *found, *([end] if end else [])))
+
+
+#: Most solutions that one string may hold.
+ROWS = 100_000
+
+
+def to_csv(df: DataFrame, rows: int = ROWS) -> str:
+    return _document(df, "csv", rows)
+
+
+def to_tsv(df: DataFrame, rows: int = ROWS) -> str:
+    return _document(df, "tsv", rows)
+
+
+def to_json(df: DataFrame, rows: int = ROWS) -> str:
     """A one-column table ``result`` of booleans, as ask() gives, is a boolean result."""
     if df.columns == ["result"] and df.schema[0].dataType.simpleString() == "boolean":
         return json.dumps({"head": {}, "boolean": df.first()[0]})
-    return f'{{"head":{json.dumps({"vars": df.columns})},"results":{{"bindings":[{",".join(_text(json_lines(df)))}]}}}}'
+    return _document(df, "json", rows)
 
 
-def to_xml(df: DataFrame) -> str:
-    head = '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n'
+def to_xml(df: DataFrame, rows: int = ROWS) -> str:
     if df.columns == ["result"] and df.schema[0].dataType.simpleString() == "boolean":
-        return f"{head}<head></head>\n<boolean>{str(df.first()[0]).lower()}</boolean>\n</sparql>\n"
-    names = "".join(f"<variable name={quoteattr(c)}/>" for c in df.columns)
-    return "".join([head, f"<head>{names}</head>\n<results>\n", *(f"{x}\n" for x in _text(xml_lines(df))), "</results>\n</sparql>\n"])
+        return f"{XML_HEAD}<head></head>\n<boolean>{str(df.first()[0]).lower()}</boolean>\n</sparql>\n"
+    return _document(df, "xml", rows)
 
 
 def to_table(df: DataFrame, rows: int = 100, prefixes: dict[str, str] | None = None, numbers: bool = False) -> str:
@@ -137,10 +180,18 @@ def serialize(df: DataFrame, accept: str = "text/plain") -> tuple[str, str]:
 
 
 def read_json(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
-    """A JSON result file -> solutions of the named variables."""
+    """JSON result files -> solutions of the named variables.
+
+    A file of one binding a line, as ``write_results`` gives them, is read line by line, in as many tasks as it has
+    splits. Any other is one JSON value without lines to split at, so a task reads it whole: keep such files small.
+    """
     one = "struct<type:string,value:string,`xml:lang`:string,datatype:string>"
     schema = f"struct<results:struct<bindings:array<struct<{','.join(f'`{v}`:{one}' for v in variables)}>>>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["results"]["bindings"]).alias("b"))
+    split = spark.read.text(path).where(F.col("value").rlike(r'^,?\{(?:"[^"]*":\{"type"|\}$)'))
+    if not split.isEmpty():
+        rows = split.select(F.from_json(F.regexp_replace("value", "^,", ""), f"struct<{','.join(f'`{v}`:{one}' for v in variables)}>").alias("b"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["results"]["bindings"]).alias("b"))
 
     def back(b: Column) -> Column:
         kind = F.when(b["type"] == "uri", IRI).when(b["type"] == "bnode", BNODE).otherwise(LITERAL)
