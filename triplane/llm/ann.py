@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from triplane.llm.common import least_hashed, materialise
 from triplane.llm.topk import GROUP_ROWS, QUERY_ROWS, stacked, usable
 
-BOOKS, CODEWORDS, BEAM, SHORTLIST = 32, 128, 2, 96
+BOOKS, CODEWORDS, BEAM, SHORTLIST = 32, 128, 2, 64
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,9 @@ def nearest(indexed: DataFrame, books: dict[int, Codebooks], is_query: Column, k
     of different lengths do not meet. Empty table: no rows. Scores are in double precision, infinite beyond it.
     """
     n, n_q = indexed.agg(F.count("*"), F.count_if(is_query)).first()
-    groups, q_groups = max(1, -(-n // group_rows), min(48, -(-n // 512))), max(1, -(-n_q // query_rows))
+    # some 48 tasks for small tables; few groups, as each gives a shortlist for every query
+    groups = max(1, -(-n // group_rows), min(6, -(-n // 4096)))
+    q_groups = max(1, -(-n_q // query_rows), min(-(-48 // groups), -(-n_q // 256)))
     shared = indexed.sparkSession.sparkContext.broadcast(books)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dim = F.size("v").alias("dim")
