@@ -68,8 +68,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     order = F.struct(F.isnull(at["doc_id"]).alias("none"), F.col(at["doc_id"]).alias("id"), "hash", "row")
     linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", "hash", at["doc_id"]), "row")
     kept = linked.groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
-    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("row"))
-    alone = numbered.join(wordless, "row", "left_semi").dropDuplicates(rows.columns).select("row")
+    wordless = numbered.where(~F.coalesce(F.col(at["text"]).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    alone = wordless.dropDuplicates(rows.columns).select("row")
     chosen = materialise(kept.unionByName(alone), "kept")
     discard(found)
     out = _named(numbered.join(chosen, "row", "left_semi"), docs)
