@@ -322,7 +322,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
+    counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
     return counted.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")).select("a", "b")
 
 
@@ -372,8 +372,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     nodes = materialise(real.join(held.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates([*same, "doc_id"]).select(F.col("doc_id").alias("node"), "n", "sig", "bands"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     full = materialise(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    buckets = materialise(keys.join(full, "key"), "buckets")
-    signed = nodes.select("node", "n", "sig")
+    # joins of what grows with the input are merges at every size, so that small runs plan as large ones do
+    buckets = materialise(keys.join(full.hint("merge"), "key"), "buckets")
+    signed = nodes.select("node", "n", "sig").hint("merge")
     first = materialise(_grouped(buckets.join(signed, "node"), chunk).mapInArrow(_forests(percent, bar), "a long, b long").distinct(), "pairs")
     likely = materialise(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "nodes")
     wanted = texts_of.join(likely.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
@@ -382,10 +383,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     part = connected_components(links)
     placed = materialise(likely.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
     # buckets of two had their only pair tested; those of one component have nothing to join
-    open_ = materialise(buckets.where("size > 2").join(placed, "node"), "buckets")
+    open_ = materialise(buckets.where("size > 2").join(placed.hint("merge"), "node"), "buckets")
     apart = materialise(open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "buckets")
-    rest = open_.join(apart, "key").join(nodes, "node")
-    rest = rest.join(sets.withColumn("n", F.size("shingles").cast("long")), ["node", "n"])
+    rest = open_.join(apart.hint("merge"), "key").join(nodes.hint("merge"), "node")
+    rest = rest.join(sets.withColumn("n", F.size("shingles").cast("long")).hint("merge"), ["node", "n"])
     second = _grouped(rest, chunk, "comp", "bands", "shingles").mapInArrow(_joins(percent, bar), "a long, b long").distinct()
     joined = materialise(second, "links")
     links = joined.unionByName(links)
