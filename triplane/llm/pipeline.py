@@ -72,7 +72,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     alone = wordless.dropDuplicates(rows.columns).select("row")
     chosen = materialise(kept.unionByName(alone), "kept")
     discard(found)
-    out = _named(numbered.join(chosen, "row", "left_semi"), docs)
+    # a merge at every size: what is kept grows with the input
+    out = _named(numbered.join(chosen.hint("merge"), "row", "left_semi"), docs)
     out._triplane_reads = (numbered, chosen)
     return out
 
