@@ -126,6 +126,18 @@ def test_dedup_against_brute_force(spark, chunk, exact, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_dedup_query_against_sql(spark):
+    import duckdb
+
+    from triplane.llm import dedup
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{FOLDER}/documents.parquet'")
+    want = con.execute(dedup.ORACLE).fetchall()
+    got = out_of(dedup.query(spark, FOLDER), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got) == sorted(want) and any(not kept for *_, kept in got)
+
+
 def test_dedup_of_odd_rows(odd, none):
     from triplane.llm import dedup
 

@@ -409,3 +409,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Shingles as texts, every pair of sets that share one, and all that is reachable: what MinHash finds, by plain SQL.
+ORACLE = r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), words AS (
+  SELECT doc_id, len(w) AS many, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM told
+), runs AS (
+  SELECT doc_id, many, i, concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p) AS g
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), found AS (
+  SELECT DISTINCT doc_id, g FROM runs WHERE i = 1 OR i <= many - 4
+), sizes AS (
+  SELECT doc_id, count(g) AS n FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM found x JOIN found y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= 85 * (p.n + q.n - shared.n)
+), reach AS (
+  SELECT doc_id, doc_id AS node FROM sizes
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(node) AS component_id, doc_id = min(node) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

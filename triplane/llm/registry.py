@@ -22,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_topk": topk.ORACLE, "op2_chat_format": chat.ORACLE}
+    return {"op1_exact_topk": topk.ORACLE, "op2_chat_format": chat.ORACLE, "op3_minhash_dedup": dedup.ORACLE}
